@@ -1,13 +1,18 @@
-"""Thin queries over the operators: one per operator, plus the pipeline."""
+"""Thin queries over the operators, one each, with their SQL where SQL can say the same."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, packing, simhash
+from . import chat_pairs, decontaminate, html_extract, langid, license_scan, packing, quality, secrets, simhash, url_filter
 from .common import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -23,10 +28,102 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = chat_pairs.conversations(table(spark, sf_dir, "conversations"))
+    found = chat_pairs.format_pairs(chat_pairs.borrowed_replies(convs))
+    return found.select(
+        F.col("id").alias("conv_id"),
+        F.col("n_prompt_turns").cast("long").alias("n_prompt_turns"),
+        *["prompt", "chosen_text", "rejected_text", "chosen_mask", "rejected_mask"],
+    )
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+_LAST = f"list_max(list_transform(t, lambda x, i: CASE WHEN x.role = '{chat_pairs.TRAINED}' THEN i ELSE 0 END))"
+
+
+def _rendered(turns: str) -> str:
+    mark = f"'{chat_pairs.HEAD}' || x.role || chr(10) || x.text || '{chat_pairs.TAIL}' || chr(10)"
+    return f"array_to_string(list_transform({turns}, lambda x: {mark}), '')"
+
+
+def _masked(turns: str) -> str:
+    head, tail = len(chat_pairs.HEAD) + 1, len(chat_pairs.TAIL) + 1
+    each = f"list_transform({turns}, lambda x: length(x.role) + length(x.text) + {head + tail})"
+    before = f"list_sum(list_slice({each}, 1, i - 1))"
+    span = f"concat(CAST(coalesce({before}, 0) + length(x.role) + {head} AS BIGINT), ':', CAST(coalesce({before}, 0) + length(x.role) + {head} + length(x.text) + {tail - 1} AS BIGINT))"
+    return f"coalesce(array_to_string(list_filter(list_transform({turns}, lambda x, i: CASE WHEN x.role = '{chat_pairs.TRAINED}' THEN {span} END), lambda x: x IS NOT NULL), ','), '')"
+
+
+OP5_SQL = f"""
+WITH conv AS (
+    SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn, role, text) AS t
+    FROM (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id
+),
+own AS (SELECT conv_id, t, coalesce({_LAST}, 0) AS at FROM conv),
+pair AS (
+    SELECT a.conv_id, a.t AS chosen,
+           CASE WHEN a.at = 0 THEN a.t WHEN b.conv_id IS NULL THEN list_slice(a.t, 1, a.at - 1)
+                ELSE list_concat(list_concat(list_slice(a.t, 1, a.at - 1), [b.t[b.at]]), list_slice(a.t, a.at + 1, len(a.t))) END AS rejected
+    FROM own a LEFT JOIN own b ON b.conv_id = a.conv_id + 1 AND b.at > 0
+),
+prefix AS (
+    SELECT *, list_min(list_filter(range(0, least(len(chosen), len(rejected)) + 1),
+                                   lambda i: i = least(len(chosen), len(rejected)) OR chosen[i + 1] <> rejected[i + 1])) AS n FROM pair
+),
+cut AS (SELECT *, list_slice(chosen, 1, n) AS p, list_slice(chosen, n + 1, len(chosen)) AS c, list_slice(rejected, n + 1, len(rejected)) AS r FROM prefix)
+SELECT conv_id, CAST(n AS BIGINT) AS n_prompt_turns, {_rendered("p")} AS prompt, {_rendered("c")} AS chosen_text, {_rendered("r")} AS rejected_text,
+       {_masked("c")} AS chosen_mask, {_masked("r")} AS rejected_mask
+FROM cut
+"""
+
+
+def _rule_sql() -> str:
+    fits = [f"(CASE WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN struct_pack(n := {len(h + p)}, rule := '{h + p}', verdict := '{v}') END)" for v, h, p in url_filter.RULES]
+    return f"list_sort(list_filter([{', '.join(fits)}], lambda x: x IS NOT NULL), 'DESC')[1]"
+
+
+def _terms_sql(terms: list[str]) -> str:
+    hits = [f"CAST(regexp_matches(place, '(^|[^\\pL\\pN]){t}($|[^\\pL\\pN])') AS INTEGER)" for t in terms]
+    return " + ".join(hits)
+
+
+OP6_SQL = f"""
+WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+place AS (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+),
+ruled AS (SELECT *, host || lower(path) AS place, {_rule_sql()} AS r FROM place)
+SELECT page_id, host, path, r.rule AS rule,
+       coalesce(r.verdict, CASE WHEN {_terms_sql(url_filter.STRICT)} >= 1 OR {_terms_sql(url_filter.SOFT)} >= {url_filter.LEAST_SOFT} THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled
+"""
+
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 OP7_SQL = f"""
@@ -48,5 +145,11 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-QUERIES = {"op2_simhash_neardup": op2_simhash_neardup, "op3_packing": op3_packing, "op7_decontamination": op7_decontamination}
-ORACLES = {"op7_decontamination": OP7_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        *(op1_html_extraction, op2_simhash_neardup, op3_packing, op4_license_scan, op5_chat_preferences),
+        *(op6_url_filter, op7_decontamination, op8_quality_rules, op9_secret_scan, op10_language_id),
+    )
+}
+ORACLES = {"op5_chat_preferences": OP5_SQL, "op6_url_filter": OP6_SQL, "op7_decontamination": OP7_SQL}
