@@ -50,23 +50,25 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     windows = benchmark_windows(benchmark, window=window)
     facts = windows.where("size > 0").agg(F.collect_set("size").alias("sizes"), F.count(F.lit(1)).alias("n")).first()
     sizes = sorted(facts["sizes"])  # at most `window` integers
-    shortest = sizes[0] if sizes else window
     windows = F.broadcast(windows) if facts["n"] <= MAX_BROADCAST_WINDOWS else windows
 
     read = docs.select(F.col(id_col).alias("id"), F.struct(F.col(text_col).isNull(), F.xxhash64(text_col)).alias("text_key"), words_of(F.col(text_col)).alias("w"))
-    last = F.size("w") - shortest if sizes else F.lit(-1)
-    # at = -1 is the document's header row, which is there even if no window fits
-    starts = read.select("id", "text_key", "w", F.explode(F.sequence(F.lit(-1), F.greatest(last, F.lit(-1)))).alias("at"))
-    size = F.when(F.col("at") < 0, 0).otherwise(shortest)
-    if len(sizes) > 1:
-        fitting = F.filter(F.array(*map(F.lit, sizes)), lambda n: F.col("at") + n <= F.size("w"))
-        size = F.explode(F.when(F.col("at") < 0, F.array(F.lit(0))).otherwise(fitting))
-    starts = starts.select("*", size.cast("int").alias("size"))
-    win = F.expr("slice(w, greatest(at + 1, 1), size)")
-    probed = starts.withColumn("key", F.xxhash64(F.col("size"), win)).join(windows.withColumnRenamed("size", "item_size"), "key")
-    hits = probed.where((F.col("size") == F.col("item_size")) & (win == F.col("win")))
+    # One number for each window of each size, and -1 for the document's header row. A single
+    # generator of plain numbers stays in generated code, so no row holds a copy of the words.
+    n, place = F.size("w"), F.col("place")
+    begins = [F.lit(0)]
+    for x in sizes:
+        begins.append(begins[-1] + F.greatest(n - x + 1, F.lit(0)))
+    size, at = F.lit(0), F.lit(-1)
+    for x, begin in zip(sizes, begins):
+        size, at = F.when(place >= begin, x).otherwise(size), F.when(place >= begin, place - begin).otherwise(at)
+    starts = read.select("id", "text_key", "w", F.explode(F.sequence(F.lit(-1), begins[-1] - 1)).alias("place"))
+    starts = starts.select("id", "text_key", n.alias("n"), "w", F.when(place < 0, 0).otherwise(size).alias("size"), F.when(place < 0, -1).otherwise(at).alias("at"))
+    starts = starts.select("id", "text_key", "n", "size", "at", F.expr("slice(w, greatest(at + 1, 1), size)").alias("seen"))
+    probed = starts.withColumn("key", F.xxhash64("size", "seen")).join(windows.withColumnRenamed("size", "item_size"), "key")
+    hits = probed.where((F.col("size") == F.col("item_size")) & (F.col("seen") == F.col("win")))
     return (
-        hits.select("id", "text_key", F.size("w").alias("n"), "at", "size", "items")
+        hits.select("id", "text_key", "n", "at", "size", "items")
         .groupBy("id", "text_key")
         .agg(
             F.max("n").cast("long").alias("n_words"),
