@@ -22,7 +22,7 @@ KINDS = ("assign", "access", "hex", "guess")
 #: Contexts besides those of ASSIGN whose values are judged by their cost.
 CONTEXT = re.compile(
     r"""(?:\b(?:pwd|pass(?:phrase|code|word|wd)?|secret|token|(?:api|access|private|secret|auth|encryption|signing)[ _-]?key|auth|authorization|credentials?|connection_?string)["']?\s{0,3}[:=]\s{0,3}(?:(?:bearer|basic|token)\s{1,3})?["']?"""
-    r"""|\b(?:bearer|basic)\x20{1,3}|://[^\s/:@]{1,64}:)([^\s"'`<>,;|(){}]+)""",
+    r"""|\bbearer\x20{1,3}|://[^\s/:@]{1,64}:)([^\s"'`<>,;|(){}]+)""",
     re.IGNORECASE | re.ASCII,
 )
 #: One of these stands in every text that ASSIGN or CONTEXT can match.
