@@ -27,6 +27,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df on all cores: rows are dealt anew only if df has fewer partitions than there are
+    cores, as a small table of one file has; a large table is read as it is split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def lower_az(text: Column) -> Column:
     """Lower-case A-Z only; plain ASCII texts take the fast built-in."""
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))

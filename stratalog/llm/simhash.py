@@ -1,8 +1,8 @@
 """SimHash near-duplicates with a Gray-order hierarchical index.
 
 Equal fingerprints collapse first. To find fingerprints within d differing bits, the 64 bits
-fall into d + 2 blocks: two fingerprints that are that close agree on two whole blocks. For
-each choice of two blocks, those bits are moved to the front and the permuted fingerprints
+fall into d + 2 blocks (more for very many fingerprints): two fingerprints that are that close
+agree on two whole blocks. For each choice of two blocks, those bits are moved to the front and the permuted fingerprints
 sorted by their rank in the reflected Gray code, over the whole cluster by range. Runs that
 share the front bits become hierarchical indexes: leaves of Gray neighbours, and upper nodes
 that hold the bits all their members share. Pairs of nodes whose shared bits already differ
@@ -22,12 +22,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import durable
+from .common import durable, spread
 
 SHINGLE, MOST_BITS, SEED = 4, 4, 42
 LEAF, FAN = 32, 8
 #: Fingerprints of one run that are indexed together.
 CHUNK = 16_384
+#: Members that a run of random fingerprints may have before pairs must agree in more blocks.
+RUN = 32
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -61,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["id", "text_key", "fp"])
 
     read = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    return read.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, text_key long, fp long")
+    return spread(read).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, text_key long, fp long")
 
 
 # -- the index within one task -------------------------------------------------------------
@@ -78,16 +80,25 @@ def gray_code(rank: np.ndarray) -> np.ndarray:
     return rank ^ (rank >> np.uint64(1))
 
 
-def layouts(bits: int) -> list[tuple[list[tuple[int, int]], int]]:
-    """For each choice of two blocks: the blocks (shift, width) in their new order, from the
-    top, and the width of the first two together."""
-    n = bits + 2
+def blocks_to_agree(n: int, bits: int) -> int:
+    """Blocks in which a pair must agree: the least number, two or more, for which n random
+    fingerprints make runs of some RUN members or fewer. More blocks mean more layouts."""
+    for agree in (2, 3):
+        if n >> (64 * agree // (bits + agree)) <= RUN:
+            return agree
+    return 4
+
+
+def layouts(bits: int, agree: int = 2) -> list[tuple[list[tuple[int, int]], int]]:
+    """For each choice of `agree` blocks of bits + agree: the blocks (shift, width) in their
+    new order, from the top, and the width of the chosen together."""
+    n = bits + agree
     edges = [64 * k // n for k in range(n + 1)]
     blocks = [(edges[k], edges[k + 1] - edges[k]) for k in range(n)]
     out = []
-    for pair in combinations(range(n), 2):
-        order = [blocks[k] for k in pair] + [b for k, b in enumerate(blocks) if k not in pair]
-        out.append((order, order[0][1] + order[1][1]))
+    for chosen in combinations(range(n), agree):
+        order = [blocks[k] for k in chosen] + [b for k, b in enumerate(blocks) if k not in chosen]
+        out.append((order, sum(width for _, width in order[:agree])))
     return out
 
 
@@ -212,10 +223,10 @@ def linked(left: GrayIndex, right: GrayIndex, bits: int) -> tuple[np.ndarray, np
 # -- over the cluster ------------------------------------------------------------------------
 
 
-def links(fps: DataFrame, bits: int = MOST_BITS) -> DataFrame:
+def links(fps: DataFrame, bits: int = MOST_BITS, agree: int | None = None) -> DataFrame:
     """(a, b): links between distinct fingerprints `fp` within `bits`, enough of them to
-    connect all that are connected."""
-    plans = layouts(bits)
+    connect all that are connected. The number of blocks to agree in changes the work only."""
+    plans = layouts(bits, agree or blocks_to_agree(fps.count(), bits))
 
     def spread(batches):
         for batch in batches:
