@@ -22,7 +22,7 @@ from difflib import SequenceMatcher
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import durable
+from .common import durable, spread
 from .url_filter import parts
 
 # Element names.
@@ -214,8 +214,6 @@ def expression(nodes: list) -> str:
 
 # -- over the cluster ---------------------------------------------------------------------------
 
-#: Parts into which a host's distinct skeletons fall before they are aligned.
-PARTS = 16
 #: Characters of wrappers that may be broadcast.
 MAX_BROADCAST = 32_000_000
 
@@ -278,11 +276,12 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     Skeletons and slots are counted before anything moves; a host's distinct ones are aligned
     in parts of their own first, so no task gets a host's pages.
     """
-    seen = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(_observed, "host string, key string, n long, chars long, low long, high long")
+    parts_of_host = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seen = spread(pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))).mapInArrow(_observed, "host string, key string, n long, chars long, low long, high long")
     counted = seen.groupBy("host", "key").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), (F.min("low") == F.max("high")).alias("same"))
     skeleton = F.format_string('{"wrapper":%s,"slots":{},"pages":%d}', F.expr("substring(key, 2)"), F.col("n"))
     slot = F.concat(F.lit('{"wrapper":null,"slots":'), F.to_json(F.create_map(F.expr("substring(key, 2)"), F.array(F.col("n"), F.col("chars"), F.when(F.col("same"), 1).otherwise(0).cast("long")))), F.lit(',"pages":0}'))
-    first = counted.select("host", F.when(F.col("key").startswith("S"), skeleton).otherwise(slot).alias("body"), F.pmod(F.xxhash64("key"), F.lit(PARTS)).alias("part"))
+    first = counted.select("host", F.when(F.col("key").startswith("S"), skeleton).otherwise(slot).alias("body"), F.pmod(F.xxhash64("key"), F.lit(parts_of_host)).alias("part"))
     apart = first.repartition("host", "part").sortWithinPartitions("host", "body").select("host", "body").mapInArrow(_merged, "host string, body string")
     return apart.repartition("host").sortWithinPartitions("host", "body").mapInArrow(_merged, "host string, body string")
 
@@ -333,7 +332,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     size = found.agg(F.sum(F.length("body"))).first()[0] or 0
     found = F.broadcast(found) if size <= MAX_BROADCAST else found
     host = F.coalesce(F.when(F.instr(F.col("url"), "://") > 0, F.translate(F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), F.lit(""))
-    read = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host)
+    read = spread(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))).withColumn("host", host)
 
     def run(batches):
         for batch in batches:

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .common import spread
+
 FEATURES = 8192
 #: Labelled rows that the models are fitted on, at most.
 SAMPLE = 3000
@@ -188,7 +190,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", columns: tupl
 
     read = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
     schema = T.StructType([read.schema["row"], T.StructField(columns[0], T.StringType()), T.StructField(columns[1], T.DoubleType())])
-    return read.mapInArrow(run, schema)
+    return spread(read).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

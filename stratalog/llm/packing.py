@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import spread
+
 CONTEXT = 1024
 TIERS = (1024, 512, 256, 128, 64)
 #: Sequences of one tier that a training step takes together.
@@ -242,4 +244,4 @@ def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col:
         if arrow is not None:
             yield from emit(list(packer.rest()), arrow)
 
-    return docs.select(*names, F.col(text_col).alias("_text_to_pack")).mapInArrow(run, schema)
+    return spread(docs.select(*names, F.col(text_col).alias("_text_to_pack"))).mapInArrow(run, schema)

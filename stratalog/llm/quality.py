@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import spread
+
 SYMBOLS = "#*$%&|<>"
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -115,4 +117,4 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             kinds = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], names=schema.names)
 
-    return docs.select(id_col, F.col(text_col).alias("_text_to_judge")).mapInArrow(run, schema)
+    return spread(docs.select(id_col, F.col(text_col).alias("_text_to_judge"))).mapInArrow(run, schema)

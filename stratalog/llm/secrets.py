@@ -14,6 +14,8 @@ from bisect import bisect_right
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import spread
+
 # The patterns of the base kinds, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -173,7 +175,7 @@ def scan(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> Dat
 
     read = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
     schema = T.StructType([read.schema["row"], T.StructField("spans", T._parse_datatype_string(SPAN)), T.StructField("redacted", T.StringType())])
-    return read.mapInArrow(run, schema)
+    return spread(read).mapInArrow(run, schema)
 
 
 def listed(kinds: tuple[str, ...] | None = None) -> str:
