@@ -83,6 +83,8 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     found = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
     want = brute(texts)
     assert found == want and len(set(want.values())) < len(texts) / 2
+    monkeypatch.setattr(simhash, "blocks_to_agree", lambda n, bits: 3)
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == want
 
 
 def test_near_duplicates_of_odd_rows(docs, nothing):

@@ -35,7 +35,9 @@ def test_fingerprint(text):
 def test_gray_rank_inverts_gray_code():
     x = np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64)
     assert (simhash.gray_rank(simhash.gray_code(x)) == x).all()
-    for order, _ in simhash.layouts(4):
+    assert [len(simhash.layouts(4, k)) for k in (2, 3, 4)] == [15, 35, 70]
+    assert [simhash.blocks_to_agree(n, 4) for n in (10**5, 10**9, 10**11)] == [2, 3, 4]
+    for order, _ in simhash.layouts(4) + simhash.layouts(4, 3):
         assert (simhash.restored(simhash.permuted(x, order), order) == x).all()
 
 
