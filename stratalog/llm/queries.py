@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import chat_pairs, decontaminate, html_extract, langid, license_scan, packing, quality, secrets, simhash, url_filter
@@ -152,4 +154,99 @@ QUERIES = {
         *(op6_url_filter, op7_decontamination, op8_quality_rules, op9_secret_scan, op10_language_id),
     )
 }
-ORACLES = {"op5_chat_preferences": OP5_SQL, "op6_url_filter": OP6_SQL, "op7_decontamination": OP7_SQL}
+
+
+# -- SQL of the line rules and of the licence classifier ------------------------------------------
+
+
+def _quoted(texts) -> str:
+    return ", ".join("'" + x.replace("'", "''") + "'" for x in texts)
+
+
+def _count(pattern: str, what: str) -> str:
+    return f"len(regexp_extract_all({what}, '{pattern}'))"
+
+
+_TOKEN = r"[^\x20\x09-\x0D]+"
+_PHRASE = "(?i)" + "|".join(re.escape(x).replace("'", "''") for x in quality.BOILERPLATE)
+_ENDED = quality._END.pattern.replace("'", "''").replace(r"\s", r"[\s\x1c-\x1f\x{85}\x{a0}]")
+
+OP8_SQL = f"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_TOKEN}') AS w FROM documents),
+line AS (
+    SELECT doc_id, i, x, regexp_extract_all(x, '{_TOKEN}') AS w
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM doc)
+),
+ranked AS (
+    SELECT *, len(w) AS n, row_number() OVER (PARTITION BY doc_id, x ORDER BY i) > 1 AS again, {_count(r"\pL", "x")} AS letters,
+           len(list_filter(w, lambda v: v IN ({_quoted(sorted(quality.SEPARATORS))}))) AS bars
+    FROM line WHERE len(w) > 0
+),
+judged AS (
+    SELECT doc_id, n, again,
+        (bars >= 2 AND 6 * bars >= n) OR bars = n
+        OR (n <= {quality.BOILERPLATE_WORDS} AND regexp_matches(x, '{_PHRASE}'))
+        OR (n >= 3 AND 10 * len(list_filter(w, lambda v: regexp_matches(v, '[#*$%&|<>]'))) >= 3 * n)
+        OR 2 * letters < length(x) - {_count(" ", "x")}
+        OR (n >= 5 AND 10 * {_count(r"\p{Lu}", "x")} > 7 * letters)
+        OR (n >= 12 AND 3 * len(list_distinct(w)) < n)
+        OR (n < {quality.UNENDED_WORDS} AND NOT regexp_matches(x, '{_ENDED}')) AS bad
+    FROM ranked
+),
+lines AS (SELECT doc_id, count(*) FILTER (again) AS n_dup_lines, coalesce(sum(n) FILTER (NOT again AND NOT bad), 0) AS words_kept FROM judged GROUP BY doc_id),
+win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM doc)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS times FROM win) WHERE times >= 2),
+repeated AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
+counted AS (
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+           CAST({_count(r"[#*$%&|<>]", "text")} AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+           CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words, coalesce(words_kept, 0) AS words_kept
+    FROM doc LEFT JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed,
+       NOT (n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words) AND words_kept >= {quality.LEAST_KEPT} * n_words AS kept
+FROM counted
+"""
+
+
+def op4_sql() -> str:
+    """The classifier with its trained weights as a table."""
+    classes, weights, bias, least = license_scan.trained()
+    rows = ", ".join(f"('{g}', {w})" for g, w in sorted(weights.items()))
+    cue = license_scan.cue_pattern()
+    sums = ", ".join(f"{b} + CAST(coalesce(sum(w[{k + 1}]), 0) AS BIGINT) AS s{k}" for k, b in enumerate(bias))
+    families = ", ".join(f"struct_pack(score := s{k}, family := '{c}')" for k, c in enumerate(classes[:-1]))
+    templates = ", ".join(f"('{f}', [{_quoted(sorted(set(t.split())))}])" for f, ts in license_scan.TEMPLATES.items() for t in ts)
+    return f"""
+WITH weight AS (SELECT * FROM (VALUES {rows}) AS v(gram, w)),
+template AS (SELECT * FROM (VALUES {templates}) AS v(family, words)),
+line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+para AS (SELECT doc_id, i, list_filter(regexp_split_to_array(lower(x), '[^a-z0-9]+'), lambda v: v <> '') AS words FROM line WHERE regexp_matches(x, '{cue}')),
+sized AS (SELECT doc_id, i, words, unnest([1, 2, 3]) AS n FROM para),
+gram AS (
+    SELECT DISTINCT doc_id, i, array_to_string(g, ' ') AS gram
+    FROM (SELECT doc_id, i, words[k:k + n - 1] AS g FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS k FROM sized WHERE len(words) >= n))
+    WHERE list_has_any(g, [{_quoted(license_scan.CUES)}])
+),
+scored AS (SELECT doc_id, i, {sums} FROM para LEFT JOIN gram USING (doc_id, i) LEFT JOIN weight USING (gram) GROUP BY doc_id, i),
+best AS (SELECT doc_id, i, list_max([{families}]) AS b, s{len(classes) - 1} AS unknown FROM scored),
+held AS (
+    SELECT doc_id, i, b.family AS family, b.score - unknown AS lead, max(len(list_intersect(para.words, template.words)) / len(template.words)) AS share
+    FROM best JOIN para USING (doc_id, i) JOIN template ON template.family = b.family WHERE b.score - unknown > {least} GROUP BY ALL
+),
+hit AS (SELECT * FROM held WHERE share >= {license_scan.CONFIRMED}),
+found AS (
+    SELECT doc_id, count(*) AS n, string_agg(DISTINCT family, ',' ORDER BY family) AS families, arg_max(family, struct_pack(a := lead, b := -i)) AS license
+    FROM hit GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_licenses, coalesce(families, '') AS families, license FROM documents LEFT JOIN found USING (doc_id)
+"""
+
+
+ORACLES = {"op5_chat_preferences": OP5_SQL, "op6_url_filter": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_quality_rules": OP8_SQL}
+
+
+def oracles() -> dict[str, str]:
+    """DuckDB SQL by query; the licence classifier is trained on the way."""
+    return ORACLES | {"op4_license_scan": op4_sql()}
