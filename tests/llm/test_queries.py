@@ -10,6 +10,7 @@ import corpus_pipeline
 from stratalog.llm import decontaminate, packing, queries, secrets
 
 SF = "/root/testdata/sf0.001"
+ORACLES = queries.oracles()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
 
@@ -21,10 +22,10 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, duck, name):
     found = queries.QUERIES[name](spark, SF)
-    result = duck.execute(queries.ORACLES[name])
+    result = duck.execute(ORACLES[name])
     columns = sorted(d[0] for d in result.description)
     at = [[d[0] for d in result.description].index(c) for c in columns]
     assert columns == sorted(found.columns)
