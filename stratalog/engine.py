@@ -30,9 +30,9 @@ class Engine:
         self.tables.add(name, df)
         return self
 
-    def source(self, spec: str, mode: str = "PERMISSIVE") -> Engine:
-        """Register `name:format=path`."""
-        self.tables.add_spec(spec, mode)
+    def source(self, spec: str, mode: str = "PERMISSIVE", schema: str | None = None) -> Engine:
+        """Register `name:format=path`; JSON lines may come with a schema."""
+        self.tables.add_spec(spec, mode, schema=schema)
         return self
 
     def function(self, name: str, build: Callable[..., Column], least: int, most: int | None | str = "same") -> Engine:

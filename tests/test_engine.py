@@ -214,6 +214,12 @@ def test_sources_and_cli(spark, tmp_path, capsys):
     assert main(["explain", "select a from it where a > 1", "--table", f"it:jsonl={tmp_path}/t.jsonl"], out) == 0 and "Physical Plan" in out.getvalue()
 
 
+def test_json_schema(spark, tmp_path):
+    (tmp_path / "t.jsonl").write_text('{"a": 1, "b": "x"}\n{"b": null}\n')
+    engine = Engine(spark).source(f"t:jsonl={tmp_path}/t.jsonl", schema="a long, b string, c double")
+    assert rows(engine.sql("select a, a is missing as m, b is null as n, c is missing as k from t")) == [(1, False, False, True), (None, True, True, True)]
+
+
 def test_stdin(spark, engine):
     engine.tables.add_spec("it:squid=stdin", stdin=io.StringIO("1 2 h c 5 GET u - p t\n"))
     assert engine.sql("select bytes from it").first()[0] == "5"
