@@ -30,16 +30,18 @@ STEP_SEQUENCES = 32
 #: younger is full.
 CACHED_CHUNKS = 400_000
 _STOPS = ".,;:!?"
-#: Characters where a space between two others always starts a token, so chunks may be encoded alone.
+#: White space with two spaces or more; in such a text only spaces between two other
+#: characters are sure to start a token.
 _TWO_SPACES = re.compile(r" [^\S ]* ")
+_LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _SPECIAL = "<|endoftext|>"
 
 
 class ChunkEncoder:
     """Ids of whole texts as packed little-endian uint32, remembered by chunk between spaces.
 
-    The byte-level BPE never merges across a single space between two non-space characters,
-    so a text's ids are its chunks' ids; other texts go to the tokenizer whole.
+    A space between two non-space characters always starts a token of the byte-level BPE, so
+    a text's ids are its chunks' ids; texts with special tokens go to the tokenizer whole.
     """
 
     def __init__(self, tokenizer_file: str, cached: int = CACHED_CHUNKS):
@@ -77,7 +79,7 @@ class ChunkEncoder:
         return ids
 
     def _chunk(self, chunk: str) -> bytes:
-        """Ids of a space and `chunk`, which holds none."""
+        """Ids of a space and `chunk`."""
         ids = self._known.get(chunk)
         if ids is not None:
             return ids
@@ -103,9 +105,9 @@ class ChunkEncoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if _SPECIAL in text or _TWO_SPACES.search(text):
+        if _SPECIAL in text:
             return self.whole(text)
-        first, *rest = text.split(" ")
+        first, *rest = _LONE_SPACE.split(text) if _TWO_SPACES.search(text) else text.split(" ")
         out = [_packed(self._encode(first))] if first else []
         known = self._known.get
         for chunk in rest:
