@@ -352,7 +352,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows that repeat that id and text count as one. Rows with a null id stay: nothing tells
     them apart.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    found = durable(near_duplicates(docs, id_col, text_col))
     gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
     left = docs.join(gone, (docs[id_col] == gone["_gone_id"]) & (F.xxhash64(docs[text_col]) == gone["_gone_key"]), "left_anti")
     again = found.where(f"`{id_col}` is not null").groupBy(id_col, "text_key").count().where("count > 1").limit(1).count()
