@@ -28,7 +28,7 @@ TIERS = (1024, 512, 256, 128, 64)
 STEP_SEQUENCES = 32
 #: Chunks whose ids a task remembers in each of two generations; the older goes when the
 #: younger is full.
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 250_000
 _STOPS = ".,;:!?"
 #: White space with two spaces or more; in such a text only spaces between two other
 #: characters are sure to start a token.
