@@ -16,6 +16,11 @@ def substring(s: Arg, start: Arg, length: Arg | None = None) -> Column:
     return F.substring(s.col, at, n)
 
 
+def trimmed(pattern: str, of_chars):
+    """Without white space of any kind, or without any of the given characters."""
+    return lambda s, chars=None: of_chars(s.col, chars.col) if chars else F.regexp_replace(s.col, pattern, "")
+
+
 def padded(name: str):
     def build(s: Arg, size: Arg, pad: Arg | None = None) -> Column:
         return F.call_function(name, s.col, F.greatest(size.col.cast("int"), F.lit(0)), pad.col if pad else F.lit(" "))
@@ -62,9 +67,9 @@ def register(r: Registry) -> None:
     for name in ("char_length", "character_length"):
         r.register(name, lambda s: F.char_length(s.col).cast("bigint"), 1)
     r.register("substring", substring, 2, 3)
-    r.register("trim", lambda s: F.regexp_replace(s.col, f"^{SPACE}|{SPACE}$", ""), 1)
-    r.register("ltrim", lambda s: F.regexp_replace(s.col, f"^{SPACE}", ""), 1)
-    r.register("rtrim", lambda s: F.regexp_replace(s.col, f"{SPACE}$", ""), 1)
+    r.register("trim", trimmed(f"^{SPACE}|{SPACE}$", F.btrim), 1, 2)
+    r.register("ltrim", trimmed(f"^{SPACE}", F.ltrim), 1, 2)
+    r.register("rtrim", trimmed(f"{SPACE}$", F.rtrim), 1, 2)
     r.register("replace", lambda s, a, b: F.replace(s.col, a.col, b.col), 3)
     r.register("reverse", lambda s: F.reverse(s.col), 1)
     r.register("repeat", lambda s, n: F.repeat(s.col, n.col.cast("int")), 2)
