@@ -49,6 +49,8 @@ NOISE = frozenset(
 )
 HEADERS = frozenset("header head topheader siteheader pageheader".split())
 LANDMARKS = ("article", "main")
+#: Levels of a page and blocks of one parent that a wrapper tells apart; text is never cut.
+DEPTH, WIDTH = 60, 200
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:![^>]*|\?[^>]*)>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][-\w:]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PIECES = re.compile(r"[a-z]+")
@@ -73,12 +75,14 @@ def signature(name: str, attributes: str) -> tuple[str, bool]:
 
 
 class Page:
-    """Blocks of a page in order: (path, text, noise); and the tree of its block tags."""
+    """Blocks of a page in order: (path, text, noise, landmarks around); and the tree of its
+    block tags, in which what lies deeper than DEPTH belongs to its ancestor there."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[tuple[str, ...], str, bool]] = []
+        self.blocks: list[tuple[tuple[str, ...], str, bool, frozenset]] = []
         self.tree: list = ["", []]
         self._names, self._labels, self._noise = [""], [""], [False]
+        self._marks: list[frozenset] = [frozenset()]
         self._nodes = [self.tree]
         self._text: list[str] = []
         self._read(source)
@@ -88,7 +92,7 @@ class Page:
             text = " ".join(entities.unescape("".join(self._text)).split())
             self._text.clear()
             if text:
-                self.blocks.append((tuple(self._labels[1:]), text, self._noise[-1]))
+                self.blocks.append((tuple(self._labels[1 : DEPTH + 1]), text, self._noise[-1], self._marks[-1]))
                 children = self._nodes[-1][1]
                 if not children or children[-1][0] != "#":
                     children.append(["#", []])
@@ -98,15 +102,19 @@ class Page:
             while (ended := ENDED_BY.get(self._names[-1])) and name in ended:
                 self._close_top()
         label, noise = signature(name, attributes)
-        node = [label, []]
-        self._nodes[-1][1].append(node)
+        node = self._nodes[-1]
+        if len(self._nodes) <= DEPTH:
+            node = [label, []]
+            self._nodes[-1][1].append(node)
         self._nodes.append(node)
         self._names.append(name)
         self._labels.append(label)
-        self._noise.append(noise or self._noise[-1] or label.endswith(".header") and not any(x in LANDMARKS for x in (y.split(".")[0] for y in self._labels)))
+        self._noise.append(noise or self._noise[-1] or label.endswith(".header") and not self._marks[-1])
+        mark = label.split(".")[0]
+        self._marks.append(self._marks[-1] | {mark} if mark in LANDMARKS else self._marks[-1])
 
     def _close_top(self) -> None:
-        for stack in (self._names, self._labels, self._noise, self._nodes):
+        for stack in (self._names, self._labels, self._noise, self._marks, self._nodes):
             stack.pop()
 
     def _close(self, name: str) -> None:
@@ -153,17 +161,19 @@ class Page:
 
     def landmark(self) -> str | None:
         """The landmark that holds blocks which are not noise: article before main."""
-        for mark in LANDMARKS:
-            if any(not noise and mark in (x.split(".")[0] for x in path) for path, _, noise in self.blocks):
-                return mark
-        return None
+        held = [marks for _, _, noise, marks in self.blocks if not noise]
+        return next((mark for mark in LANDMARKS if any(mark in x for x in held)), None)
 
 
 # -- wrappers: nodes [label, occurrence, children]; occurrence is one of "", ?, +, * ------------
 
+#: Label of a repeated group of siblings.
+GROUP = "()"
+
 
 def folded(children: list) -> list:
-    """A page's nodes as wrapper nodes, runs of like siblings as one repeated node."""
+    """A page's nodes as wrapper nodes, runs of like siblings as one repeated node and runs
+    of like sequences as one repeated group."""
     out: list = []
     for label, below in children:
         node = [label, "", folded(below)]
@@ -171,9 +181,39 @@ def folded(children: list) -> list:
             out[-1] = [label, "+", aligned(out[-1][2], node[2])]
         else:
             out.append(node)
+    for period in (2, 3, 4):
+        out = grouped(out, period)
+    return coarse(out) if len(out) > WIDTH else out
+
+
+def grouped(nodes: list, period: int) -> list:
+    """Tandem repeats of `period` labels as one group, its members aligned."""
+    out, at, labels = [], 0, [x[0] for x in nodes]
+    while at < len(nodes):
+        end = at + period
+        while labels[end : end + period] == labels[at : at + period] and end + period <= len(nodes):
+            end += period
+        if end == at + period or GROUP in labels[at:end]:
+            out.append(nodes[at])
+            at += 1
+            continue
+        members = nodes[at : at + period]
+        for k in range(at + period, end, period):
+            members = [[x[0], either(x[1], y[1]), aligned(x[2], y[2])] for x, y in zip(members, nodes[k : k + period])]
+        out.append([GROUP, "+", members])
+        at = end
     return out
 
 
+def coarse(nodes: list) -> list:
+    """What stands in for a sequence too long to align: each label once, in order of first
+    appearance, any number of times."""
+    seen: dict[str, list] = {}
+    for label, _, below in nodes:
+        seen[label] = aligned(seen[label], below) if label in seen else below
+    return [[label, "*", below] for label, below in seen.items()]
+
+
 def either(a: str, b: str) -> str:
     many, none = a in "+*" and a != "" or b in "+*" and b != "", a in ("?", "*") or b in ("?", "*")
     return {(False, False): "", (False, True): "?", (True, False): "+", (True, True): "*"}[many, none]
@@ -187,6 +227,8 @@ def aligned(a: list, b: list) -> list:
     """Two lists of wrapper nodes as one that fits whatever fits either."""
     if a == b:
         return a
+    if len(a) + len(b) > WIDTH:
+        return coarse(a + b)
     out: list = []
 
     def put(node: list) -> None:
@@ -209,7 +251,12 @@ def aligned(a: list, b: list) -> list:
 
 def expression(nodes: list) -> str:
     """A wrapper as a regular expression; text slots are #."""
-    return " ".join((f"#{occurrence}" if label == "#" else f"(<{label}> {expression(below)}{' ' if below else ''}</>){occurrence}") for label, occurrence, below in nodes)
+    out = []
+    for label, occurrence, below in nodes:
+        inner = expression(below)
+        out.append("#" if label == "#" else f"({inner})" if label == GROUP else f"(<{label}> {inner}{' ' if inner else ''}</>)")
+        out[-1] += occurrence
+    return " ".join(out)
 
 
 # -- over the cluster ---------------------------------------------------------------------------
@@ -228,7 +275,7 @@ def _observed(batches):
             if page.landmark():
                 continue
             by_path: dict[tuple, list[str]] = {}
-            for path, text, noise in page.blocks:
+            for path, text, noise, _ in page.blocks:
                 if not noise:
                     by_path.setdefault(path, []).append(text)
             for path, texts in by_path.items():
@@ -308,13 +355,12 @@ def main_text(source: str | None, body: str | None) -> str:
     page = Page(source or "")
     mark = page.landmark()
     if mark:
-        blocks = [text for path, text, noise in page.blocks if not noise and any(x.split(".")[0] == mark for x in path)]
-        return "\n".join(blocks)
+        return "\n".join(text for _, text, noise, marks in page.blocks if not noise and mark in marks)
     known = json.loads(body) if body else {"slots": {}, "pages": 0}
     slots = known["slots"]
     under = container(slots, known["pages"])
     blocks = []
-    for path, text, noise in page.blocks:
+    for path, text, noise, _ in page.blocks:
         name = "/".join(path)
         n, _, same = slots.get(name, (0, 0, 0))
         if not noise and (not under or name == under or name.startswith(under + "/")) and not (same and n > 1):
