@@ -276,6 +276,17 @@ def test_main_text(source, text):
     assert H.main_text(source, None) == text
 
 
+def test_deep_and_wide_pages():
+    deep = "<div>" * 5000 + "x" + "</div>" * 5000
+    wide = "<article>" + "".join(f"<h2>h{i}</h2><p>p{i}<ul><li>l{i}</ul>" for i in range(3000)) + "</article>"
+    mixed = "<body>" + "".join(f"<{t}>{i}</{t}>" for i in range(2000) for t in ("h2", "p", "div", "h3", "h4", "section", "dl")[i % 7 : i % 7 + 1 + i % 3])
+    assert H.main_text(deep, None) == "x" and H.main_text(wide, None).count("\n") == 8999
+    for source in (deep, wide, mixed):
+        skeleton = H.folded(H.Page(source).tree[1])
+        assert len(H.expression(H.aligned(skeleton, H.folded(H.Page("<body><p>a</p></body>").tree[1])))) < 20_000
+    assert "((<h2> # </>) (<p> # </>) (<ul> (<li> # </>) </>))+" in H.expression(H.folded(H.Page(wide).tree[1]))
+
+
 def test_alignment_is_union_free():
     a = H.folded(H.Page('<body><div class="x"><p>a</p><p>b</p></div><div class="y">z</div></body>').tree[1])
     b = H.folded(H.Page('<body><div class="x"><p>a</p><ul><li>q</ul></div></body>').tree[1])
