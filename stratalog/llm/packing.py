@@ -44,24 +44,23 @@ class ChunkEncoder:
     a text's ids are its chunks' ids; texts with special tokens go to the tokenizer whole.
     """
 
-    def __init__(self, tokenizer_file: str, cached: int = CACHED_CHUNKS):
+    def __init__(self, definition: str, cached: int = CACHED_CHUNKS):
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(tokenizer_file)
-        self._encode = self._plain(tokenizer_file)
+        self._tokenizer = Tokenizer.from_str(definition)
+        self._encode = self._plain(definition)
         self._known: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
         self._cached = cached
 
     @staticmethod
-    def _plain(tokenizer_file: str):
-        """An encoder of ordinary text with the file's own vocabulary, faster on short chunks."""
+    def _plain(definition: str):
+        """An encoder of ordinary text with the same vocabulary, faster on short chunks."""
         import json
 
         import tiktoken
 
-        with open(tokenizer_file, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+        vocab = json.loads(definition)["model"]["vocab"]
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         of = {chr(b): b for b in printable}
         of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
@@ -115,6 +114,12 @@ class ChunkEncoder:
         return b"".join(out)
 
 
+def definition_of(tokenizer_file: str) -> str:
+    """The text of a tokenizer file, read by the driver: executors need no copy of the file."""
+    with open(tokenizer_file, encoding="utf-8") as f:
+        return f.read()
+
+
 def _packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
@@ -203,11 +208,11 @@ def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col:
     kept = {c: docs.schema[c].dataType for c in dict.fromkeys((id_col, *extra))}
     own = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
     schema = T.StructType([T.StructField(c, t) for c, t in kept.items()] + [T.StructField(c, T.LongType()) for c in own])
-    names, tiers = list(kept), tuple(t for t in tiers if t <= context)
+    names, tiers, definition = list(kept), tuple(t for t in tiers if t <= context), definition_of(tokenizer_file)
 
     def run(batches):
         base = TaskContext.get().partitionId() << 33
-        encode, packer = ChunkEncoder(tokenizer_file), Packer(context, tiers)
+        encode, packer = ChunkEncoder(definition), Packer(context, tiers)
         state = {"sequence": 0, "group": 0}
 
         def emit(sequences, arrow):
