@@ -76,7 +76,7 @@ def test_index_links_what_brute_force_links(seed, n, spread):
 def test_chunk_encoder_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
-    plain, encode, rng = Tokenizer.from_file(BPE), packing.ChunkEncoder(BPE, cached=50), random.Random(5)
+    plain, encode, rng = Tokenizer.from_file(BPE), packing.ChunkEncoder(packing.definition_of(BPE), cached=50), random.Random(5)
     parts = ["a", "word", " ", " ", "  ", "\n", "\t", "'s", "'ll", "12", "é", "!", ".", "日本", "🙂", "\x1c", "\x85", "\u00a0", "<|endoftext|>", "ⅷ", "²", "_"]
     texts = ["", "It's fine.\nNext line, here; ok?", "a  b", "a \n \n b"] + ["".join(rng.choices(parts, k=rng.randint(1, 20))) for _ in range(4000)]
     for text in texts:
