@@ -39,13 +39,12 @@ ENDED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "
 ENDED_UP_TO = frozenset("ul ol dl table article section main div body nav aside footer header blockquote td th li dd form".split())
 #: Words in a class, id or role that tell a block which is not main text.
 NOISE = frozenset(
-    """nav navbar navigation menu menubar submenu sidebar sidenav side aside footer foot masthead banner topbar toolbar
+    """nav navbar navigation menu menubar submenu sidebar sidenav aside footer foot masthead banner topbar toolbar
     breadcrumb breadcrumbs pagination pager paging ad ads advert adverts advertisement advertising adsense adslot
-    sponsor sponsored sponsors promo promotion promoted cookie cookies consent gdpr notice notices alert newsletter
-    subscribe subscription signup signin login register comment comments commentlist respond reply replies disqus
-    discussion share sharing social related recommended recommendations popular trending widget widgets popup modal
-    overlay search skip skiplink hidden copyright legal disclaimer contentinfo complementary tablist dialog form
-    tooltip outbrain taboola feedback rating ratings reviews""".split()
+    sponsor sponsored sponsors promo promotion promoted cookie cookies consent gdpr notice notices alert announcement
+    newsletter subscribe subscription signup signin login comment comments commentlist respond reply replies disqus
+    share sharing social related recommended recommendations popular trending widget widgets popup modal overlay search
+    skip skiplink hidden copyright disclaimer contentinfo complementary tablist dialog tooltip outbrain taboola""".split()
 )
 HEADERS = frozenset("header head topheader siteheader pageheader".split())
 LANDMARKS = ("article", "main")
