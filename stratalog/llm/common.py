@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -28,8 +29,12 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df on all cores: rows are dealt anew only if df has fewer partitions than there are
-    cores, as a small table of one file has; a large table is read as it is split."""
+    """df on all cores: rows are dealt anew only if df reads fewer splits than there are
+    cores, as a small table of one file does. Other frames stay as they are: a large table,
+    and one with a shuffle, whose partitions can't be counted without running it."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if re.search(r"Join|Aggregate|Window|Sort|Exchange|Repartition|Limit|Generate|InMemory|Range", plan):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
