@@ -33,7 +33,8 @@ def spread(df: DataFrame) -> DataFrame:
     cores, as a small table of one file does. Other frames stay as they are: a large table,
     and one with a shuffle, whose partitions can't be counted without running it."""
     plan = df._jdf.queryExecution().sparkPlan().toString()
-    if re.search(r"Join|Aggregate|Window|Sort|Exchange|Repartition|Limit|Generate|InMemory|Range", plan):
+    nodes = re.findall(r"(?m)^[ :+-]*(?:\*\(\d+\) )?(\w+)", plan)
+    if not {"Project", "Filter", "FileScan", "Scan", "BatchScan"}.issuperset(nodes):
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
