@@ -13,6 +13,7 @@ only; the features' weights, a few hundred rows, are broadcast.
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 from itertools import product
 
@@ -103,7 +104,7 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     spark = docs.sparkSession
     classes, weights, bias, least = trained()
-    ranked = spark.createDataFrame([(g, w) for g, w in sorted(weights.items())], "gram string, w array<int>")
+    ranked = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(weights)), "map<string, array<int>>")).alias("gram", "w"))
     cues = F.array(*map(F.lit, CUES))
     text_key = F.struct(F.col(text_col).isNull(), F.xxhash64(text_col))
     lines = F.when(F.col(text_col).rlike(cue_pattern()), F.split(F.col(text_col), "\n", -1)).otherwise(F.array().cast("array<string>"))
