@@ -25,7 +25,7 @@ def test_native_operators_run_no_python(spark, name):
 @pytest.mark.parametrize("name", ["op3_packing", "op4_license_scan", "op7_decontamination", "op8_quality_rules", "op9_secret_scan"])
 def test_only_needed_columns_are_read(spark, name):
     found = plan(queries.QUERIES[name](spark, SF))
-    assert "ReadSchema: struct<doc_id:bigint,text:string>" in found and "source" not in found
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in found and "lang:" not in found
 
 
 def test_narrow_operators_do_not_shuffle_large_tables(spark, monkeypatch):
