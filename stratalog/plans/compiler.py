@@ -54,10 +54,11 @@ class Compiler:
     def _relation(self, df: DataFrame, alias: str | None) -> tuple[DataFrame, Relation]:
         """df under names that no other table of the query has."""
         k = next(self._numbers)
-        names = {f.name: f"{alias or 't'}_{k}_{f.name}" for f in df.schema.fields}
+        alike = len({c.lower() for c in df.columns}) < len(df.columns)  # Spark doesn't tell case apart
+        names = {c: f"{alias or 't'}_{k}_{c}" + (f"_{i}" if alike else "") for i, c in enumerate(df.columns)}
         types = {f.name: f.dataType for f in df.schema.fields}
+        renamed = df.toDF(*names.values())
         variant = names.pop(json_lines.VARIANT, None)
-        renamed = df.toDF(*(f"{alias or 't'}_{k}_{c}" for c in df.columns))
         return renamed, Relation(alias, names, types, variant)
 
     def _table(self, table: t.Table, outer: Scope | None) -> tuple[DataFrame, Relation]:

@@ -9,10 +9,16 @@ class Expr:
     """Any expression."""
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Literal(Expr):
     value: object  # None is NULL
 
+    def __eq__(self, other: object) -> bool:  # 1, 1.0 and true are different literals
+        return isinstance(other, Literal) and (type(self.value), self.value) == (type(other.value), other.value)
+
+    def __hash__(self) -> int:
+        return hash((type(self.value), self.value))
+
 
 @dataclass(frozen=True)
 class Missing(Expr):

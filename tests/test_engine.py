@@ -56,6 +56,17 @@ def test_null_and_missing(spark, engine):
     assert rows(engine.sql("select coalesce(missing, null, i) as c from t")) == [(1,), (2,), (3,)]
 
 
+def test_names_differ_by_case(spark, engine):
+    engine.table("t", json_lines.parse(lines(spark, '{"a": 1, "A": 2}', '{"a": 3}')))
+    assert rows(engine.sql("select a + 1 as x, A as y, A is missing as m from t")) == [(2, 2, False), (4, None, True)]
+
+
+def test_literals_of_different_types(spark, engine):
+    engine.table("t", spark.createDataFrame([(1, True), (0, False)], "i int, b boolean"))
+    assert rows(engine.sql("select i = 1 as x, count(*) as n from t group by i = 1")) == [(False, 1), (True, 1)]
+    assert rows(engine.sql("select b = true as x, 1 as y, 1.0 as z, true as w from t where i = 1")) == [(True, 1, 1.0, True)]
+
+
 def test_padding_is_null_not_missing(pair):
     assert rows(pair.sql("select x, y is null as n, y is missing as m from a left join b on a.id = b.id where a.id = 2")) == [("q", True, False)]
 
