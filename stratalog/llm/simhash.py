@@ -257,7 +257,14 @@ def links(fps: DataFrame, bits: int = MOST_BITS, agree: int | None = None) -> Da
                 out.append(pa.RecordBatch.from_arrays([pa.array([x], schema.field(i).type) for i, x in enumerate((None, None, run, task << 32 | state["chunk"], codes.tobytes()))], names=names))
             return out
 
-        held_run, held, first, cut = None, [], True, False
+        def whole(run, codes, more):
+            """A run's rows, chunk by chunk; more: others may hold rows of it."""
+            more = more or len(codes) > CHUNK
+            if more or len(codes) > 1:
+                for at in range(0, len(codes), CHUNK):
+                    yield from finish(run, codes[at : at + CHUNK], more)
+
+        held_run, held, more = None, [], True  # the run that the next batch may go on with
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -265,23 +272,29 @@ def links(fps: DataFrame, bits: int = MOST_BITS, agree: int | None = None) -> Da
             codes = gray_code(batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64) ^ np.uint64(1 << 63))
             front = np.array([64 - w for _, w in plans], np.uint64)[layout]
             run = (layout << 40) | (codes >> front).astype(np.int64)
-            ends = np.append(np.flatnonzero(run[1:] != run[:-1]) + 1, len(run))
-            start = 0
-            for end in ends.tolist():
-                if held_run is not None and held_run != run[start]:
-                    n = sum(map(len, held))
-                    if n > 1 or first or cut:
-                        yield from finish(held_run, np.concatenate(held), first or cut)
-                    held, first, cut = [], False, False
-                held_run = int(run[start])
-                held.append(codes[start:end])
-                start = end
-                while sum(map(len, held)) >= CHUNK:
-                    all_ = np.concatenate(held)
-                    yield from finish(held_run, all_[:CHUNK], True)
-                    held, cut = [all_[CHUNK:]], True
-        if held_run is not None and sum(map(len, held)):
-            yield from finish(held_run, np.concatenate(held), True)
+            starts = np.concatenate(([0], np.flatnonzero(run[1:] != run[:-1]) + 1))
+            ends = np.append(starts[1:], len(run))
+            if run[0] == held_run:
+                held.append(codes[: ends[0]])
+                if len(starts) == 1:
+                    while sum(map(len, held)) >= CHUNK:
+                        all_ = np.concatenate(held)
+                        yield from finish(held_run, all_[:CHUNK], True)
+                        held, more = [all_[CHUNK:]], True
+                    continue
+            if held:
+                yield from whole(held_run, np.concatenate(held), more)
+                more = False
+            begin = 1 if run[0] == held_run or held_run is None and len(starts) > 1 else 0
+            if held_run is None and len(starts) > 1:  # rows of the first run may lie in the task before
+                yield from whole(int(run[0]), codes[: ends[0]], True)
+                more = False
+            inner = np.arange(begin, len(starts) - 1)
+            for k in inner[ends[inner] - starts[inner] > 1].tolist():  # most runs are single rows
+                yield from whole(int(run[starts[k]]), codes[starts[k] : ends[k]], False)
+            held_run, held = int(run[-1]), [codes[starts[-1] :]]
+        if held:
+            yield from whole(held_run, np.concatenate(held), True)
 
     def meet(batches):
         for batch in batches:
