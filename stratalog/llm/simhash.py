@@ -264,6 +264,16 @@ def links(fps: DataFrame, bits: int = MOST_BITS, agree: int | None = None) -> Da
                 for at in range(0, len(codes), CHUNK):
                     yield from finish(run, codes[at : at + CHUNK], more)
 
+        def worth(run, codes, starts):
+            """Which runs need an index: those longer than a leaf, and of the others those with
+            members within `bits`, found for all at once."""
+            sizes = np.diff(np.append(starts, len(run)))
+            out, of = sizes > LEAF, np.repeat(np.arange(len(starts)), sizes)
+            for k in range(1, min(LEAF, int(sizes.max()))):
+                near = (run[k:] == run[:-k]) & (np.bitwise_count(codes[k:] ^ codes[:-k]) <= bits)
+                out[of[k:][near]] = True
+            return out
+
         held_run, held, more = None, [], True  # the run that the next batch may go on with
         for batch in batches:
             if not batch.num_rows:
@@ -290,7 +300,7 @@ def links(fps: DataFrame, bits: int = MOST_BITS, agree: int | None = None) -> Da
                 yield from whole(int(run[0]), codes[: ends[0]], True)
                 more = False
             inner = np.arange(begin, len(starts) - 1)
-            for k in inner[ends[inner] - starts[inner] > 1].tolist():  # most runs are single rows
+            for k in inner[worth(run, codes, starts)[inner]].tolist():
                 yield from whole(int(run[starts[k]]), codes[starts[k] : ends[k]], False)
             held_run, held = int(run[-1]), [codes[starts[-1] :]]
         if held:
