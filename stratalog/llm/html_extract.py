@@ -5,7 +5,7 @@ groups, which gives the page's skeleton. Equal skeletons of a host are counted o
 distinct ones are aligned one after the other: what one side lacks becomes optional, runs
 become repeated, texts become slots, never an alternative of two shapes. The result is the
 host's wrapper, a union-free regular expression over block tags, with figures for each slot:
-texts, characters, and whether it holds the same text on every page.
+texts, characters, and whether different pages, copies not counted, hold the same text there.
 
 A page's main text lies in the wrapper's article slots. Where a wrapper marks none, it lies
 under the node that most of the changing text of the host shares. Menus, notices, forms and
@@ -265,24 +265,31 @@ MAX_BROADCAST = 32_000_000
 
 
 def _observed(batches):
-    """(host, key, n, chars, low, high): a row for each skeleton and each path of a page."""
+    """(host, key, n, chars, low, high, page): a row for each skeleton and each path of a page;
+    page is the hash of its content, alike on its copies."""
     for batch in batches:
         rows = []
         for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             page, host = Page(source or ""), parts(url)[0]
-            rows.append((host, "S" + json.dumps(folded(page.tree[1]), ensure_ascii=False, separators=(",", ":")), 1, 0, 0, 0))
+            rows.append((host, "S" + json.dumps(folded(page.tree[1]), ensure_ascii=False, separators=(",", ":")), 1, 0, 0, 0, 0))
             if page.landmark():
                 continue
             by_path: dict[tuple, list[str]] = {}
             for path, text, noise, _ in page.blocks:
                 if not noise:
                     by_path.setdefault(path, []).append(text)
+            content = content_mark(page)
             for path, texts in by_path.items():
                 mark = hash_text("\n".join(texts))
-                rows.append((host, "P" + "/".join(path), 1, sum(map(len, texts)), mark, mark))
-        columns = list(zip(*rows)) or [()] * 6
-        kinds = [pa.string(), pa.string()] + [pa.int64()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["host", "key", "n", "chars", "low", "high"])
+                rows.append((host, "P" + "/".join(path), 1, sum(map(len, texts)), mark, mark, content))
+        columns = list(zip(*rows)) or [()] * 7
+        kinds = [pa.string(), pa.string()] + [pa.int64()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["host", "key", "n", "chars", "low", "high", "page"])
+
+
+def content_mark(page: Page) -> int:
+    """Hash of the blocks of a page that are not noise; copies of a page share it."""
+    return hash_text("\n".join("/".join(path) + "\t" + text for path, text, noise, _ in page.blocks if not noise))
 
 
 def hash_text(text: str) -> int:
@@ -323,8 +330,8 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     in parts of their own first, so no task gets a host's pages.
     """
     parts_of_host = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seen = spread(pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))).mapInArrow(_observed, "host string, key string, n long, chars long, low long, high long")
-    counted = seen.groupBy("host", "key").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), (F.min("low") == F.max("high")).alias("same"))
+    seen = spread(pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))).mapInArrow(_observed, "host string, key string, n long, chars long, low long, high long, page long")
+    counted = seen.groupBy("host", "key").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), ((F.min("low") == F.max("high")) & (F.min("page") < F.max("page"))).alias("same"))
     skeleton = F.format_string('{"wrapper":%s,"slots":{},"pages":%d}', F.expr("substring(key, 2)"), F.col("n"))
     slot = F.concat(F.lit('{"wrapper":null,"slots":'), F.to_json(F.create_map(F.expr("substring(key, 2)"), F.array(F.col("n"), F.col("chars"), F.when(F.col("same"), 1).otherwise(0).cast("long")))), F.lit(',"pages":0}'))
     first = counted.select("host", F.when(F.col("key").startswith("S"), skeleton).otherwise(slot).alias("body"), F.pmod(F.xxhash64("key"), F.lit(parts_of_host)).alias("part"))

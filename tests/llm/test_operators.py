@@ -265,3 +265,13 @@ def test_html_extraction(spark):
     assert found[3][0].text == "Head 3\nAlpha text 3 that is long enough to matter" and found[3][0].host == "a.com" and "(<h1> # </>)" in found[3][0].wrapper
     assert len(found[9]) == 2 and found[9][0].text == "x" and found[10][0].text == "" and found[11][0].text == ""
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_html_copies_are_no_template(spark):
+    """Copies of a page don't make its text constant, on a host of their own or beside others."""
+    page = "<body><div><h1>Head</h1><p>Text of the page</p><blockquote>A quote</blockquote></div></body>"
+    other = "<body><div><h1>Other {i}</h1><p>Other text {i}</p><h6>Same words</h6></div></body>"
+    rows = [(i, f"http://a.com/{i}", page) for i in range(3)] + [(3 + i, f"http://b.com/{i}", page) for i in range(3)] + [(6 + i, f"http://b.com/x{i}", other.format(i=i)) for i in range(3)]
+    found = by_id(html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert {found[i][0].text for i in range(6)} == {"Head\nText of the page\nA quote"}
+    assert found[7][0].text == "Other 1\nOther text 1"
