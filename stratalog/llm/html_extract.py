@@ -4,12 +4,14 @@ Each page becomes a stream of block tags and texts. Runs of like siblings fold i
 groups, which gives the page's skeleton. Equal skeletons of a host are counted once; the
 distinct ones are aligned one after the other: what one side lacks becomes optional, runs
 become repeated, texts become slots, never an alternative of two shapes. The result is the
-host's wrapper, a union-free regular expression over block tags, with figures for each slot:
-texts, characters, and whether different pages, copies not counted, hold the same text there.
-
-A page's main text lies in the wrapper's article slots. Where a wrapper marks none, it lies
-under the node that most of the changing text of the host shares. Menus, notices, forms and
-the like are told by their tags, roles and classes.
+host's wrapper, a union-free regular expression over block tags.
+
+Each page is then matched against its host's wrapper, which puts every text into one of the
+wrapper's slots. A slot is constant if all pages that fill it do so with the same text, and
+pages of different content do, copies not counted; what stands there is the host's template. A page's main text is what
+stands in changing slots: inside the page's article or main element if a changing slot lies
+there, else under the wrapper's node that most of the changing text of the host shares, else
+anywhere. Menus, notices, forms and the like are told by their tags, roles and classes.
 """
 
 from __future__ import annotations
@@ -79,6 +81,7 @@ class Page:
 
     def __init__(self, source: str):
         self.blocks: list[tuple[tuple[str, ...], str, bool, frozenset]] = []
+        self.held: list[list] = []  # the text node of the tree that holds each block
         self.tree: list = ["", []]
         self._names, self._labels, self._noise = [""], [""], [False]
         self._marks: list[frozenset] = [frozenset()]
@@ -95,6 +98,7 @@ class Page:
                 children = self._nodes[-1][1]
                 if not children or children[-1][0] != "#":
                     children.append(["#", []])
+                self.held.append(children[-1])
 
     def _open(self, name: str, attributes: str) -> None:
         if name in BLOCKS:
@@ -258,6 +262,115 @@ def expression(nodes: list) -> str:
     return " ".join(out)
 
 
+# -- matching a page against a wrapper ---------------------------------------------------------
+
+#: Cost of a step that the wrapper has no room for, where a left-out node that it asks for costs 1.
+ASTRAY = 1000
+
+
+class Matcher:
+    """A wrapper made ready to match pages; its nodes are numbered from 0 in order, groups
+    not counted. `parents` and `labels` are those of the nodes."""
+
+    def __init__(self, wrapper: list):
+        self.parents: list[int] = []
+        self.labels: list[str] = []
+        self._root = self._ready(wrapper, -1)
+
+    def _ready(self, nodes: list, parent: int) -> tuple:
+        flat: list = []  # (number, repeats, (first, last) of its group or None, below)
+        needed, places = [0], {}
+
+        def put(node: list, bounds: tuple | None, free: bool) -> None:
+            number = len(self.labels)
+            self.labels.append(node[0])
+            self.parents.append(parent)
+            places.setdefault(node[0], []).append(len(flat))
+            needed.append(needed[-1] + (not free and node[1] in ("", "+")))
+            flat.append((number, node[1] in ("+", "*"), bounds, self._ready(node[2], number)))
+
+        for node in nodes:
+            if node[0] == GROUP:
+                bounds = (len(flat), len(flat) + len(node[2]) - 1) if node[1] in ("+", "*") else None
+                for member in node[2]:
+                    put(member, bounds, node[1] in ("?", "*"))
+            else:
+                put(node, None, False)
+        return flat, needed, places
+
+    @staticmethod
+    def _step(flat: list, needed: list, j: int, k: int) -> int:
+        """Cost of going from place j to place k of a sequence."""
+        if j < k:
+            return needed[k] - needed[j + 1]
+        if j == k and flat[j][1]:
+            return 0
+        if flat[j][2] and flat[j][2] == flat[k][2]:
+            first, last = flat[j][2]
+            return needed[last + 1] - needed[j + 1] + needed[k] - needed[first]
+        return ASTRAY
+
+    def _places(self, flat: list, needed: list, places: dict, labels: list[str]) -> list[int | None]:
+        """Place of each label in a sequence at the least cost; None for a label it lacks."""
+        if all(len(places.get(x, ())) <= 1 for x in labels):
+            return [places[x][0] if x in places else None for x in labels]
+        known = [x for x in labels if x in places]
+        costs, back = {-1: 0}, []
+        for label in known:
+            new, came = {}, {}
+            for k in places[label]:
+                came[k] = min(costs, key=lambda j: costs[j] + self._step(flat, needed, j, k))
+                new[k] = costs[came[k]] + self._step(flat, needed, came[k], k)
+            costs = new
+            back.append(came)
+        at = min(costs, key=lambda j: costs[j] + needed[-1] - needed[j + 1])
+        chosen = []
+        for came in reversed(back):
+            chosen.append(at)
+            at = came[at]
+        return [chosen.pop() if x in places else None for x in labels]
+
+    def slots(self, page: Page) -> list[int | None]:
+        """Number of the wrapper's slot in which each block of a page stands; None for a
+        block without one."""
+        found: dict[int, int] = {}
+
+        def match(children: list, ready: tuple) -> None:
+            flat, needed, places = ready
+            for child, k in zip(children, self._places(flat, needed, places, [x[0] for x in children])):
+                if k is not None:
+                    if child[0] == "#":
+                        found[id(child)] = flat[k][0]
+                    else:
+                        match(child[1], flat[k][3])
+
+        match(page.tree[1], self._root)
+        return [found.get(id(node)) for node in page.held]
+
+    def container(self, slots: list[list[int]]) -> int:
+        """Deepest node that holds most of a host's changing text; -1 for the whole page."""
+        weight, below = {-1: 0}, {}
+        for number, chars, constant in slots:
+            if not constant:
+                while number >= 0:
+                    weight[number] = weight.get(number, 0) + chars
+                    below.setdefault(self.parents[number], set()).add(number)
+                    number = self.parents[number]
+                weight[-1] += chars
+        here = -1
+        while True:
+            best = max(below.get(here, ()), key=lambda p: (weight[p], p), default=None)
+            if best is None or 10 * weight[best] < 7 * weight[here] or re.match(r"(#|(p|li|td|h\d|tr|dd|dt)\b)", self.labels[best]):
+                return here
+            here = best
+
+    def within(self, number: int | None, node: int) -> bool:
+        """Whether a node is another one or lies below it."""
+        while number is not None and number > node:
+            number = self.parents[number]
+        return number == node
+
+
 # -- over the cluster ---------------------------------------------------------------------------
 
 #: Characters of wrappers that may be broadcast.
@@ -265,26 +378,15 @@ MAX_BROADCAST = 32_000_000
 
 
 def _observed(batches):
-    """(host, key, n, chars, low, high, page): a row for each skeleton and each path of a page;
-    page is the hash of its content, alike on its copies."""
+    """(host, skeleton): a row for each different skeleton of a host in a batch."""
     for batch in batches:
-        rows = []
-        for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            page, host = Page(source or ""), parts(url)[0]
-            rows.append((host, "S" + json.dumps(folded(page.tree[1]), ensure_ascii=False, separators=(",", ":")), 1, 0, 0, 0, 0))
-            if page.landmark():
-                continue
-            by_path: dict[tuple, list[str]] = {}
-            for path, text, noise, _ in page.blocks:
-                if not noise:
-                    by_path.setdefault(path, []).append(text)
-            content = content_mark(page)
-            for path, texts in by_path.items():
-                mark = hash_text("\n".join(texts))
-                rows.append((host, "P" + "/".join(path), 1, sum(map(len, texts)), mark, mark, content))
-        columns = list(zip(*rows)) or [()] * 7
-        kinds = [pa.string(), pa.string()] + [pa.int64()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["host", "key", "n", "chars", "low", "high", "page"])
+        rows = {(parts(url)[0], dumped(folded(Page(source or "").tree[1]))) for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
+        columns = list(zip(*rows)) or [()] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=["host", "body"])
+
+
+def dumped(nodes: list) -> str:
+    return json.dumps(nodes, ensure_ascii=False, separators=(",", ":"))
 
 
 def content_mark(page: Page) -> int:
@@ -299,79 +401,101 @@ def hash_text(text: str) -> int:
 
 
 def _merged(batches):
-    """Rows (host, kind, body) in the order of hosts, as one (host, wrapper, slots) per run of
-    a host; skeletons and wrappers are aligned, slots are joined."""
-    host, wrapper, slots, pages = None, None, {}, 0
-
-    def finish():
-        body = json.dumps({"wrapper": wrapper or [], "slots": slots, "pages": pages}, ensure_ascii=False, separators=(",", ":"))
-        return pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([body], pa.string())], names=["host", "body"])
-
-    started = False
+    """Rows (host, wrapper) in the order of hosts, as one row per run of a host, aligned."""
+    host, wrapper = None, None
     for batch in batches:
         for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if started and name != host:
-                yield finish()
-                wrapper, slots, pages = None, {}, 0
-            host, started = name, True
-            new = json.loads(body)
-            if new["wrapper"] is not None:
-                wrapper = new["wrapper"] if wrapper is None else aligned(wrapper, new["wrapper"])
-            slots |= new["slots"]
-            pages += new["pages"]
-    if started:
-        yield finish()
+            if wrapper is not None and name != host:
+                yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([dumped(wrapper)], pa.string())], names=["host", "body"])
+                wrapper = None
+            host, new = name, json.loads(body)
+            wrapper = new if wrapper is None else aligned(wrapper, new)
+    if wrapper is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([dumped(wrapper)], pa.string())], names=["host", "body"])
+
+
+def host_of(url):
+    """Host of a URL column, as url_filter.parts gives it."""
+    return F.coalesce(F.when(F.instr(url, "://") > 0, F.translate(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), F.lit(""))
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, body): each host's wrapper and slots as JSON, from all its pages.
+    """(host, body): each host's wrapper as JSON, from all its pages.
 
-    Skeletons and slots are counted before anything moves; a host's distinct ones are aligned
-    in parts of their own first, so no task gets a host's pages.
+    Equal skeletons are dropped before anything moves; a host's distinct ones are aligned in
+    parts of their own first, so no task gets a host's pages.
     """
     parts_of_host = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seen = spread(pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))).mapInArrow(_observed, "host string, key string, n long, chars long, low long, high long, page long")
-    counted = seen.groupBy("host", "key").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), ((F.min("low") == F.max("high")) & (F.min("page") < F.max("page"))).alias("same"))
-    skeleton = F.format_string('{"wrapper":%s,"slots":{},"pages":%d}', F.expr("substring(key, 2)"), F.col("n"))
-    slot = F.concat(F.lit('{"wrapper":null,"slots":'), F.to_json(F.create_map(F.expr("substring(key, 2)"), F.array(F.col("n"), F.col("chars"), F.when(F.col("same"), 1).otherwise(0).cast("long")))), F.lit(',"pages":0}'))
-    first = counted.select("host", F.when(F.col("key").startswith("S"), skeleton).otherwise(slot).alias("body"), F.pmod(F.xxhash64("key"), F.lit(parts_of_host)).alias("part"))
+    seen = spread(pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))).mapInArrow(_observed, "host string, body string").distinct()
+    first = seen.select("host", "body", F.pmod(F.xxhash64("body"), F.lit(parts_of_host)).alias("part"))
     apart = first.repartition("host", "part").sortWithinPartitions("host", "body").select("host", "body").mapInArrow(_merged, "host string, body string")
     return apart.repartition("host").sortWithinPartitions("host", "body").mapInArrow(_merged, "host string, body string")
 
 
-def container(slots: dict[str, list[int]], pages: int) -> str:
-    """Path of the deepest node that holds most of a host's changing text."""
-    weight: dict[tuple, int] = {}
-    for path, (n, chars, same) in slots.items():
-        labels = tuple(path.split("/"))
-        if not (same and pages > 1 and n > 1):
-            for k in range(len(labels) + 1):
-                weight[labels[:k]] = weight.get(labels[:k], 0) + chars
-    here: tuple = ()
-    while True:
-        below = [p for p in weight if len(p) == len(here) + 1 and p[: len(here)] == here]
-        best = max(below, key=lambda p: (weight[p], p), default=None)
-        if best is None or 10 * weight[best] < 7 * weight[here] or re.match(r"(p|li|td|h\d|tr|dd|dt)\b", best[-1]):
-            return "/".join(here)
-        here = best
-
-
-def main_text(source: str | None, body: str | None) -> str:
+def _filled(batches):
+    """Rows (host, html, wrapper) as (host, slot, chars, low, high, first, last): a row for each
+    slot of a host in a batch, with its characters on pages without a landmark, the least and
+    greatest hash of a page's text there, and of the page's content, alike on its copies."""
+    for batch in batches:
+        ready: dict[str, Matcher] = {}
+        rows: dict[tuple, list] = {}
+        for host, source, body in zip(*(c.to_pylist() for c in batch.columns)):
+            page = Page(source or "")
+            if body not in ready:
+                ready[body] = Matcher(json.loads(body))
+            by_slot: dict[int, list[str]] = {}
+            for slot, (_, text, noise, _) in zip(ready[body].slots(page), page.blocks):
+                if not noise and slot is not None:
+                    by_slot.setdefault(slot, []).append(text)
+            marked, content = page.landmark(), content_mark(page)
+            for slot, texts in by_slot.items():
+                mark = hash_text("\n".join(texts))
+                row = rows.setdefault((host, slot), [0, mark, mark, content, content])
+                row[0] += 0 if marked else sum(map(len, texts))
+                row[1:] = min(row[1], mark), max(row[2], mark), min(row[3], content), max(row[4], content)
+        columns = list(zip(*(k + tuple(v) for k, v in rows.items()))) or [()] * 7
+        kinds = [pa.string()] + [pa.int64()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["host", "slot", "chars", "low", "high", "first", "last"])
+
+
+def joined(pages: DataFrame, found: DataFrame, url_col: str, html_col: str, *others) -> DataFrame:
+    """Pages with what is found of their hosts, which is broadcast if it is small."""
+    size = found.agg(F.sum(F.length("body"))).first()[0] or 0
+    found = F.broadcast(found) if size <= MAX_BROADCAST else found
+    read = spread(pages.select(*others, F.col(url_col).alias("url"), F.col(html_col).alias("html"))).withColumn("host", host_of(F.col("url")))
+    return read.join(found, "host", "left")
+
+
+def filled(pages: DataFrame, found: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, body): the wrapper and its slots as JSON, each with its number, its characters
+    on pages without a landmark, and whether it is constant."""
+    seen = joined(pages, found, url_col, html_col).select("host", "html", "body").mapInArrow(_filled, "host string, slot long, chars long, low long, high long, first long, last long")
+    counted = seen.groupBy("host", "slot").agg(F.sum("chars").alias("chars"), (F.min("low") == F.max("high")).alias("same"), (F.min("first") < F.max("last")).alias("several"))
+    slots = counted.groupBy("host").agg(F.to_json(F.collect_list(F.array("slot", "chars", (F.col("same") & F.col("several")).cast("long")))).alias("slots"))
+    return found.join(slots, "host", "left").select("host", F.concat(F.lit('{"wrapper":'), "body", F.lit(',"slots":'), F.coalesce("slots", F.lit("[]")), F.lit("}")).alias("body"))
+
+
+class Rules:
+    """What a host's wrapper says: its expression, constant slots and container."""
+
+    def __init__(self, body: str | None):
+        known = json.loads(body) if body else {"wrapper": [], "slots": []}
+        self.wrapper = expression(known["wrapper"]) if body else None
+        self.matcher = Matcher(known["wrapper"])
+        self.constant = {number for number, _, constant in known["slots"] if constant}
+        self.under = self.matcher.container(known["slots"])
+
+
+def main_text(source: str | None, body: str | Rules | None) -> str:
     """Main text of a page, given its host's wrapper; null and empty pages have none."""
+    rules = body if isinstance(body, Rules) else Rules(body)
     page = Page(source or "")
-    mark = page.landmark()
+    changing = [(slot, text, marks) for slot, (_, text, noise, marks) in zip(rules.matcher.slots(page), page.blocks) if not noise and slot not in rules.constant]
+    mark = next((mark for mark in LANDMARKS if any(mark in marks for _, _, marks in changing)), None)
     if mark:
-        return "\n".join(text for _, text, noise, marks in page.blocks if not noise and mark in marks)
-    known = json.loads(body) if body else {"slots": {}, "pages": 0}
-    slots = known["slots"]
-    under = container(slots, known["pages"])
-    blocks = []
-    for path, text, noise, _ in page.blocks:
-        name = "/".join(path)
-        n, _, same = slots.get(name, (0, 0, 0))
-        if not noise and (not under or name == under or name.startswith(under + "/")) and not (same and n > 1):
-            blocks.append(text)
-    return "\n".join(blocks)
+        return "\n".join(text for _, text, marks in changing if mark in marks)
+    inside = [text for slot, text, _ in changing if rules.matcher.within(slot, rules.under)] if rules.under >= 0 else []
+    return "\n".join(inside or [text for _, text, _ in changing])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -380,19 +504,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Null html is an empty page; rows with a null URL, or one without `://`, share the empty
     host; rows repeat as they come; other columns are not read.
     """
-    found = durable(wrappers(pages, url_col, html_col))
-    size = found.agg(F.sum(F.length("body"))).first()[0] or 0
-    found = F.broadcast(found) if size <= MAX_BROADCAST else found
-    host = F.coalesce(F.when(F.instr(F.col("url"), "://") > 0, F.translate(F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), F.lit(""))
-    read = spread(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))).withColumn("host", host)
+    found = durable(filled(pages, durable(wrappers(pages, url_col, html_col)), url_col, html_col))
+    read = joined(pages, found, url_col, html_col, F.col(id_col).alias("id"))
 
     def run(batches):
         for batch in batches:
             sources, bodies = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            rules = {b: expression(json.loads(b)["wrapper"]) if b else None for b in set(bodies)}
-            texts = [main_text(s, b) for s, b in zip(sources, bodies)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string()), pa.array([rules[b] for b in bodies], pa.string())], names=["id", "url", "host", "text", "wrapper"])
+            rules = {b: Rules(b) for b in set(bodies)}
+            texts = [main_text(s, rules[b]) for s, b in zip(sources, bodies)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string()), pa.array([rules[b].wrapper for b in bodies], pa.string())], names=["id", "url", "host", "text", "wrapper"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    joined = read.join(found, "host", "left").select("id", "url", "host", "html", "body")
-    return joined.mapInArrow(run, f"id {kind}, url string, host string, text string, wrapper string").withColumnRenamed("id", id_col)
+    return read.select("id", "url", "host", "html", "body").mapInArrow(run, f"id {kind}, url string, host string, text string, wrapper string").withColumnRenamed("id", id_col)

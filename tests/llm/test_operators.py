@@ -275,3 +275,11 @@ def test_html_copies_are_no_template(spark):
     found = by_id(html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
     assert {found[i][0].text for i in range(6)} == {"Head\nText of the page\nA quote"}
     assert found[7][0].text == "Other 1\nOther text 1"
+
+
+def test_html_wrapper_decides_the_text(spark):
+    """A constant slot inside <article> goes, whose label path a changing slot shares."""
+    form = "<body><article><div><p>Words of the house on every page</p></div><h1>Head {i}</h1><div><p>Text {i}</p>{more}</div></article></body>"
+    rows = [(i, f"http://a.com/{i}", form.format(i=i, more=f"<p>More {i}</p>" * (i % 3))) for i in range(6)]
+    found = by_id(html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert [found[i][0].text for i in range(3)] == ["Head 0\nText 0", "Head 1\nText 1\nMore 1", "Head 2\nText 2\nMore 2\nMore 2"]
