@@ -50,6 +50,10 @@ NOISE = frozenset(
 )
 HEADERS = frozenset("header head topheader siteheader pageheader".split())
 LANDMARKS = ("article", "main")
+#: Words after which a class speaks of what lies inside or is lacking, not of the element.
+HAVING = frozenset("has have having with no without not".split())
+#: Screens on which a class hides an element; it is shown on others.
+SCREENS = frozenset("xs sm md lg xl xxl phone mobile tablet desktop print small medium large up down".split())
 #: Levels of a page and blocks of one parent that a wrapper tells apart; text is never cut.
 DEPTH, WIDTH = 60, 200
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:![^>]*|\?[^>]*)>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
@@ -58,16 +62,32 @@ _PIECES = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
-def signature(name: str, attributes: str) -> tuple[str, bool]:
-    """Name with class and role, digits as 0; and whether the element is not main text."""
+def words(mark: str) -> set[str]:
+    """Words of a class, id or role that tell what the element is."""
+    out: set[str] = set()
+    for token in mark.split():
+        pieces = _PIECES.findall(token)
+        shown = not SCREENS.isdisjoint(pieces)
+        for piece in pieces:
+            if piece in HAVING:
+                break
+            if piece != "hidden" or not shown:
+                out.add(piece)
+    return out
+
+
+def signature(name: str, attributes: str) -> tuple[str, int]:
+    """Name with class and role, digits as 0; and whether the element is not main text: 1 by
+    a class, id or role, 2 by its name or as hidden."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes.strip(" /") else {}
     marks = [found[k].lower() for k in ("class", "id", "role") if found.get(k)]
-    noise = name in DROPPED or "hidden" in found or found.get("aria-hidden") == "true" or bool(_HIDDEN.search(found.get("style", "")))
-    if not noise and name not in ("html", "body", "article", "main"):
-        noise = any(not NOISE.isdisjoint(_PIECES.findall(x)) for x in marks)
-    elif not noise and name == "article":
-        noise = any(not {"comment", "comments", "reply", "ad", "promo", "related", "teaser"}.isdisjoint(_PIECES.findall(x)) for x in marks)
-    if not noise and name not in LANDMARKS and (name == "header" or any(not HEADERS.isdisjoint(_PIECES.findall(x)) for x in marks[:2])):
+    noise = 2 * (name in DROPPED or "hidden" in found or found.get("aria-hidden") == "true" or bool(_HIDDEN.search(found.get("style", ""))))
+    kind = found["role"] if found.get("role") in LANDMARKS else name
+    if not noise and kind not in ("html", "body", "article", "main"):
+        noise = int(any(not NOISE.isdisjoint(words(x)) for x in marks))
+    elif not noise and kind == "article":
+        noise = int(any(not {"comment", "comments", "reply", "ad", "promo", "related", "teaser"}.isdisjoint(words(x)) for x in marks))
+    if not noise and kind not in LANDMARKS and (name == "header" or any(not HEADERS.isdisjoint(words(x)) for x in marks[:2])):
         return f"{name}.header", noise  # not main text outside an article
     label = name + "".join("." + x for x in re.findall(r"\S+", re.sub(r"\d+", "0", found.get("class", "").lower()))[:2])
     if found.get("role") in LANDMARKS:
@@ -77,17 +97,27 @@ def signature(name: str, attributes: str) -> tuple[str, bool]:
 
 class Page:
     """Blocks of a page in order: (path, text, noise, landmarks around); and the tree of its
-    block tags, in which what lies deeper than DEPTH belongs to its ancestor there."""
+    block tags, in which what lies deeper than DEPTH belongs to its ancestor there.
+
+    Noise holds for all that lies below. But where all landmarks lie below an element that is
+    noise by its class, as in a container named after its sidebar, and hold more text than
+    the clean rest of the page, they are main text."""
 
     def __init__(self, source: str):
         self.blocks: list[tuple[tuple[str, ...], str, bool, frozenset]] = []
         self.held: list[list] = []  # the text node of the tree that holds each block
         self.tree: list = ["", []]
         self._names, self._labels, self._noise = [""], [""], [False]
+        self._inner = [0]  # noise as it would be if landmarks ended that of classes around them
+        self._clean: list[bool] = []  # for each block, whether it would be no noise then
         self._marks: list[frozenset] = [frozenset()]
         self._nodes = [self.tree]
         self._text: list[str] = []
         self._read(source)
+        if not self.landmark():
+            lifted = {i for i, clean in enumerate(self._clean) if clean and self.blocks[i][3]}
+            if sum(len(self.blocks[i][1]) for i in lifted) > sum(len(text) for _, text, noise, _ in self.blocks if not noise):
+                self.blocks = [(path, text, noise and i not in lifted, marks) for i, (path, text, noise, marks) in enumerate(self.blocks)]
 
     def _flush(self) -> None:
         if self._text:
@@ -95,6 +125,7 @@ class Page:
             self._text.clear()
             if text:
                 self.blocks.append((tuple(self._labels[1 : DEPTH + 1]), text, self._noise[-1], self._marks[-1]))
+                self._clean.append(not self._inner[-1])
                 children = self._nodes[-1][1]
                 if not children or children[-1][0] != "#":
                     children.append(["#", []])
@@ -112,12 +143,14 @@ class Page:
         self._nodes.append(node)
         self._names.append(name)
         self._labels.append(label)
-        self._noise.append(noise or self._noise[-1] or label.endswith(".header") and not self._marks[-1])
         mark = label.split(".")[0]
+        noise = noise or int(label.endswith(".header") and not self._marks[-1])
+        self._noise.append(bool(noise) or self._noise[-1])
+        self._inner.append(0 if mark in LANDMARKS and not noise and self._inner[-1] < 2 else max(noise, self._inner[-1]))
         self._marks.append(self._marks[-1] | {mark} if mark in LANDMARKS else self._marks[-1])
 
     def _close_top(self) -> None:
-        for stack in (self._names, self._labels, self._noise, self._marks, self._nodes):
+        for stack in (self._names, self._labels, self._noise, self._inner, self._marks, self._nodes):
             stack.pop()
 
     def _close(self, name: str) -> None:

@@ -276,6 +276,19 @@ def test_main_text(source, text):
     assert H.main_text(source, None) == text
 
 
+@pytest.mark.parametrize("mark", ["content has-sidebar", "layout with-sidebar", "no-comments", "hidden-xs", "md:hidden", "sidebar-left", "header-wide"])
+def test_a_container_does_not_take_its_article_along(mark):
+    page = f'<div class="{mark}"><nav>n</nav><div class="sidebar"><p>s</p></div><article><h1>Title</h1><p>Long text</p><div class="ad">a</div></article></div><p>end</p>'
+    assert H.main_text(page, None) == "Title\nLong text"
+
+
+def test_noise_keeps_its_articles_beside_a_clean_one():
+    comments = '<div id="comments"><article><p>A long comment, longer than the text</p></article></div>'
+    assert H.main_text(f"<article><p>Text</p></article>{comments}", None) == "Text"
+    assert H.main_text(f"<p>The text itself, longer than what the comments say</p>{comments}", None).startswith("The text itself")
+    assert H.main_text('<div hidden><article><p>x</p></article></div><p>y</p>', None) == "y"
+
+
 def test_deep_and_wide_pages():
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
     wide = "<article>" + "".join(f"<h2>h{i}</h2><p>p{i}<ul><li>l{i}</ul>" for i in range(3000)) + "</article>"
