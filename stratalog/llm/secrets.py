@@ -21,9 +21,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "guess")
-#: Contexts besides those of ASSIGN whose values are judged by their cost.
+#: Contexts besides those of ASSIGN whose values are judged by their cost; their names may end
+#: longer ones, after _, - or . or with a capital.
 CONTEXT = re.compile(
-    r"""(?:\b(?:pwd|pass(?:phrase|code|word|wd)?|secret|token|(?:api|access|private|secret|auth|encryption|signing)[ _-]?key|auth|authorization|credentials?|connection_?string)["']?\s{0,3}[:=]\s{0,3}(?:(?:bearer|basic|token)\s{1,3})?["']?"""
+    r"""(?:(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])))(?:pwd|pass(?:phrase|code|word|wd)?|secret|token|(?:(?:api|access|private|secret|auth|encryption|signing)[ _.-]?){1,3}key|auth|authorization|credentials?|connection_?string)["']?\s{0,3}[:=]\s{0,3}(?:(?:bearer|basic|token)\s{1,3})?["']?"""
     r"""|\bbearer\x20{1,3}|://[^\s/:@]{1,64}:)([^\s"'`<>,;|(){}]+)""",
     re.IGNORECASE | re.ASCII,
 )

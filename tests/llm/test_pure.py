@@ -206,6 +206,15 @@ def test_guess_cost():
     assert secrets.spans("The bearer of this letter. Basic information is key: river") == []
 
 
+@pytest.mark.parametrize("name", ["AWS_SECRET_ACCESS_KEY=", "aws_secret_access_key = ", "DJANGO_SECRET_KEY=", "DB_PWD=", "smtp_pass: ", "SSH_PRIVATE_KEY=", "db.pwd=", "db-pass=", "smtpPass: ", "awsSecretAccessKey=", "secret key: "])
+def test_contexts_of_longer_names(name):
+    assert secrets.spans(name + "Zx81kQw92Lmn7 x") == [("guess", len(name), len(name) + 13)]
+
+
+def test_words_that_end_alike_are_no_context():
+    assert secrets.spans("bypass: Zx81kQw92Lmn7, compass=Zx81kQw92Lmn7") == []
+
+
 def test_redaction():
     text = "a token = abcdefgh12 b"
     assert secrets.redacted(text, secrets.spans(text)) == "a [SECRET] b"
