@@ -41,7 +41,27 @@ private token value string null none true false undefined placeholder your here
 redacted hidden xxxx config settings environment variable localhost company internal staging production development
 client access key api auth basic bearer the and you for love blue green black white orange silver gold star moon
 river mountain computer internet network service account office monday friday january april july october december
-apple google amazon cloud docker python java spring number nothing something""".split()
+apple google amazon cloud docker python java spring number nothing something
+http:// https:// www. .com .org .net oauth accounts email address domain host hostname port path file folder directory
+authentication authenticate authenticated authorization authorize authorized authorisation authenticator authority
+credential credentials certificate certification certified permission permissions privilege administrator
+required optional invalid incorrect expired missing disabled enabled unknown unavailable available provided accepted
+rejected forbidden denied granted unauthorized protected encrypted encryption decrypted signature signing verification
+verified validation validated connection connected string process function method module import export require request
+response middleware handler manager provider controller component interface implementation application session cookie
+storage generate generated generator random unique identifier instance security secure strong phrase passphrase
+passcode letter letters word words character characters instrument instruments bearer document documents document
+information message messages management department government international responsible responsibility important
+understand understanding everything everyone anything somewhere together different difference another between
+through without within because before after should would could please contact support customer customers question
+questions answer answers following follow above below example examples description documentation reference references
+according account accounts transaction transactions payment payments delivery registration subscription
+subscriber member members organization organisation association institution university education
+technology technical development developer developers production resource resources repository repositories
+kubernetes parameter parameters property properties attribute attributes element elements container containers
+complete completely successful successfully immediately automatically temporary permanent possible impossible
+necessary certainly generally especially particularly probably actually currently recently originally
+ing tion ment ness able""".split()
 RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
 LONGEST_WORD = max(map(len, RANK))
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
@@ -141,7 +161,7 @@ def spans(text: str | None, least_bits: float = LEAST_BITS) -> list[tuple[str, i
             k = bisect_right(starts, start) - 1
             if end - start < LEAST_LENGTH or k >= 0 and start < assigned[k][1]:
                 continue
-            if guess_bits(value) >= least_bits and re.search(r"[0-9]", value):
+            if guess_bits(value) >= least_bits:
                 found.append(("guess", start, end))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

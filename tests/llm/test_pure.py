@@ -215,6 +215,13 @@ def test_words_that_end_alike_are_no_context():
     assert secrets.spans("bypass: Zx81kQw92Lmn7, compass=Zx81kQw92Lmn7") == []
 
 
+def test_values_without_a_digit_are_judged_by_their_cost():
+    assert secrets.spans("pwd: 'kXqZ!vRw#mPtLsBn'") == [("guess", 6, 22)]
+    assert secrets.spans("Authorization: Bearer kXqZvRwmPtLsBn") == [("guess", 22, 36)]
+    for prose in ("the bearer certificates", "auth: authentication", "Authorization: required-permission", "credentials: administrator", "passphrase: understanding everything"):
+        assert secrets.spans(prose) == [], prose
+
+
 def test_redaction():
     text = "a token = abcdefgh12 b"
     assert secrets.redacted(text, secrets.spans(text)) == "a [SECRET] b"
