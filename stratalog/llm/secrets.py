@@ -25,9 +25,12 @@ KINDS = ("assign", "access", "hex", "guess")
 #: longer ones, after _, - or . or with a capital.
 CONTEXT = re.compile(
     r"""(?:(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])))(?:pwd|pass(?:phrase|code|word|wd)?|secret|token|(?:(?:api|access|private|secret|auth|encryption|signing)[ _.-]?){1,3}key|auth|authorization|credentials?|connection_?string)["']?\s{0,3}[:=]\s{0,3}(?:(?:bearer|basic|token)\s{1,3})?["']?"""
-    r"""|\bbearer\x20{1,3}|://[^\s/:@]{1,64}:)([^\s"'`<>,;|(){}]+)""",
+    r"""|\bbearer\x20{1,3})([^\s"'`<>,;|(){}]+)""",
     re.IGNORECASE | re.ASCII,
 )
+#: User of a URL; its password goes on to the next @, if nothing comes before that ends a value.
+USER = re.compile(r"://[^\s/:@]*:", re.ASCII)
+_PASSWORD = re.compile(r"""[^\s"'`<>,;|(){}@]*""", re.ASCII)
 #: One of these stands in every text that ASSIGN or CONTEXT can match.
 HINTS = ("pwd", "pass", "secret", "token", "key", "auth", "credential", "bearer", "basic", "connection", "://")
 #: Bits from which a value counts as a secret.
@@ -134,11 +137,25 @@ def guess_bits(value: str) -> float:
     return best[n]
 
 
+def passwords(text: str) -> list[tuple[int, int]]:
+    """(start, end) of what stands between user and @ in URLs; host:port is none. Each
+    character is looked at a fixed number of times."""
+    out, end = [], -1
+    for m in USER.finditer(text):
+        start = m.end()
+        if start > end:
+            end = _PASSWORD.match(text, start).end()
+            if text[end : end + 1] == "@":
+                out.append((start, start + len(text[start:end].rstrip(".:!?"))))
+    return out
+
+
 def spans(text: str | None, least_bits: float = LEAST_BITS) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start, then kind as listed; null has none.
 
     The base kinds are whole matches, as they come. `guess` spans are values of credential
-    contexts that cost least_bits or more and lie in no base span of kind assign.
+    contexts that cost least_bits or more and lie in no base span of kind assign and in no
+    other one.
     """
     if not text:
         return []
@@ -149,20 +166,15 @@ def spans(text: str | None, least_bits: float = LEAST_BITS) -> list[tuple[str, i
         assigned = [m.span() for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST_LENGTH]
         found += [("assign", *x) for x in assigned]
         starts = [x[0] for x in assigned]
-        for m in CONTEXT.finditer(text):
-            start, end = m.span(1)
-            value = text[start:end]
-            if value.count("@") and m[0].startswith("://"):
-                value = value[: value.index("@")]
-            elif m[0].startswith("://"):
-                continue
-            value = value.rstrip(".:!?")
-            end = start + len(value)
+        values = [(start, start + len(m[1].rstrip(".:!?"))) for m in CONTEXT.finditer(text) for start in (m.start(1),)]
+        last = 0  # end of the latest span of kind guess
+        for start, end in sorted(values + passwords(text)):
             k = bisect_right(starts, start) - 1
-            if end - start < LEAST_LENGTH or k >= 0 and start < assigned[k][1]:
+            if end - start < LEAST_LENGTH or start < last or k >= 0 and start < assigned[k][1]:
                 continue
-            if guess_bits(value) >= least_bits:
+            if guess_bits(text[start:end]) >= least_bits:
                 found.append(("guess", start, end))
+                last = end
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

@@ -222,6 +222,14 @@ def test_values_without_a_digit_are_judged_by_their_cost():
         assert secrets.spans(prose) == [], prose
 
 
+def test_host_and_port_swallow_no_context():
+    plain, port, user = "https://db.example.com/app?pwd=Zx81kQw92Lmn7", "https://db.example.com:5432/app?pwd=Zx81kQw92Lmn7", "u" * 100
+    assert secrets.spans(plain) == [("guess", 31, 44)] and secrets.spans(port) == [("guess", 36, 49)]
+    assert secrets.spans(f"db://{user}:Zx81kQw92Lmn7@h:80/?pwd=aX7kQw92Lmn7P") == [("guess", 106, 119), ("guess", 130, 143)]
+    assert secrets.spans("connection_string=db://u:Zx81kQw92Lmn7@h") == [("guess", 18, 40)]
+    assert secrets.spans("://a:" * 50_000) == [] and secrets.spans("://:" * 50_000 + "@") == []  # linear time
+
+
 def test_redaction():
     text = "a token = abcdefgh12 b"
     assert secrets.redacted(text, secrets.spans(text)) == "a [SECRET] b"
