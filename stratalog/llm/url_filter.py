@@ -1,12 +1,14 @@
 """URL filter: host and path rules first, then a weighted vocabulary by Aho-Corasick.
 
-One automaton holds all terms. A hit counts if no letter or digit stands directly beside it.
+One automaton holds all terms. It reads the whole URL after `://`, query and fragment too, as
+it is written and percent-decoded. A hit counts if no letter or digit stands directly beside it.
 One strict term rejects a URL, and so do several distinct soft terms.
 """
 
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -44,15 +46,16 @@ def parts(url: str | None) -> tuple[str, str]:
     return lower, re.split(r"[?#]", mark + after, maxsplit=1)[0]
 
 
-def terms(found, host: str, path: str) -> tuple[set[str], set[str]]:
-    """Distinct strict and soft terms of a URL that stand alone."""
-    whole = host + path.lower()
+def terms(found, host: str, rest: str) -> tuple[set[str], set[str]]:
+    """Distinct strict and soft terms that stand alone in a host and what follows it, as
+    written or percent-decoded."""
     strict: set[str] = set()
     soft: set[str] = set()
-    for end, (kind, term) in found.iter(whole):
-        start = end - len(term) + 1
-        if (start == 0 or not whole[start - 1].isalnum()) and (end + 1 == len(whole) or not whole[end + 1].isalnum()):
-            (strict if kind == "strict" else soft).add(term)
+    for whole in {host + rest.lower(), unquote(host + rest).lower()}:
+        for end, (kind, term) in found.iter(whole):
+            start = end - len(term) + 1
+            if (start == 0 or not whole[start - 1].isalnum()) and (end + 1 == len(whole) or not whole[end + 1].isalnum()):
+                (strict if kind == "strict" else soft).add(term)
     return strict, soft
 
 
@@ -75,7 +78,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
             out = []
             for url in batch.column(1).to_pylist():
                 host, path = parts(url)
-                hard, mild = terms(found, host, path)
+                hard, mild = terms(found, host, (url or "").partition("://")[2][len(host) :])
                 rule, verdict = rule_of(host, path, rules) or (None, "block" if hard or len(mild) >= least_soft else "allow")
                 out.append((host, path, rule, verdict, sorted(hard), sorted(mild)))
             columns = list(zip(*out)) or [()] * 6

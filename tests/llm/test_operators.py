@@ -235,6 +235,13 @@ def test_url_filter(spark):
     assert len(found[5]) == 2 and found[2][0].host == "" and url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_url_terms_after_the_path(spark):
+    urls = ["http://x.net/go?q=casino", "/r?to=free+bonus+poker", "http://x.net/r?to=free+bonus+poker", "http://x.net/#Casino", "http://x.net/a?q=x%20c%61sino", "http://x.net/a%20casino", "http://x.net/a?q=free", "http://x.net/free?q=bonus", "http://a.org/?q=casino"]
+    found = by_id(url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")), "page_id")
+    assert [found[i][0].verdict for i in range(9)] == ["block", "allow", "block", "block", "block", "block", "allow", "block", "allow"]
+    assert (found[0][0].host, found[0][0].path) == ("x.net", "/go")
+
+
 def test_license_scan(spark, docs, nothing):
     texts = ["A text.\nLicensed under the Apache License, Version 2.0.", "Released under the MIT License.\nThis work is licensed under the GNU General Public License, version 3.", "Her license plate was dirty.\nShe studied at MIT.", "Licensed under CC BY-NC 4.0."]
     df = spark.createDataFrame([(i, t, "z", 1) for i, t in enumerate(texts)] + [(0, texts[0], "z", 1), (9, None, "z", 1), (None, texts[3], "z", 1)], "doc_id long, text string, gram string, w int")
