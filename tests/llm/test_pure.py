@@ -274,6 +274,12 @@ def test_every_template_is_learned():
     assert not wrong
 
 
+def test_unknown_is_calibrated_on_unseen_sentences(monkeypatch):
+    """A look-alike of a kind of its own passes the fits that have not seen it, so the lead rises."""
+    monkeypatch.setattr(license_scan, "OTHERS", [*license_scan.OTHERS, "licensed under the mit license plate"])
+    assert license_scan.trained.__wrapped__()[3] > 0
+
+
 # -- HTML ------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "</p>";</script></head><body class="has-sidebar">
