@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import durable, spread
+from .common import durable, fresh, join_hot, spread, without
 
 SHINGLE, MOST_BITS, SEED = 4, 4, 42
 LEAF, FAN = 32, 8
@@ -120,13 +120,15 @@ def restored(x: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
 class GrayIndex:
     """Fingerprints in Gray order under nodes that hold the bits all members share."""
 
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        low, high = codes, codes
+    def __init__(self, codes: np.ndarray, high: np.ndarray | None = None, leaf: int = LEAF):
+        """With `high`, each member stands for a group: codes are the bits that all of it has,
+        high those that any of it has."""
+        self.codes, self.size = codes, leaf
+        low, high = codes, codes if high is None else high
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # starts, mask, pattern; leaves first
-        starts = np.arange(0, len(codes), LEAF)
+        starts = np.arange(0, len(codes), leaf)
         while True:
-            cut = np.arange(0, len(low), LEAF if not self.levels else FAN)
+            cut = np.arange(0, len(low), leaf if not self.levels else FAN)
             low, high = np.bitwise_and.reduceat(low, cut), np.bitwise_or.reduceat(high, cut)
             mask = ~(low ^ high)
             self.levels.append((starts, mask, low & mask))
@@ -169,7 +171,7 @@ class GrayIndex:
 
     def leaf(self, leaves: np.ndarray) -> np.ndarray:
         """Positions of the members of leaves, -1 beyond the end."""
-        out = leaves[:, None] * LEAF + np.arange(LEAF)
+        out = leaves[:, None] * self.size + np.arange(self.size)
         return np.where(out < len(self.codes), out, -1)
 
 
@@ -237,8 +239,7 @@ def links(fps: DataFrame, bits: int = MOST_BITS, agree: int | None = None) -> Da
 
     def index(batches):
         """Links within chunks; chunks of runs that others may continue."""
-        names = ["a", "b", "run", "chunk", "codes"]
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("run", pa.int64()), ("chunk", pa.int64()), ("codes", pa.binary())])
+        schema = pa.schema([(x, pa.int64()) for x in ("a", "b", "run", "chunk", "low", "high")] + [("codes", pa.binary())])
         from pyspark import TaskContext
 
         task, state = TaskContext.get().partitionId(), {"chunk": 0}
@@ -251,10 +252,12 @@ def links(fps: DataFrame, bits: int = MOST_BITS, agree: int | None = None) -> Da
                 a, b = linked(tree, tree, bits)
             order = plans[run >> 40][0]
             back = restored(codes, order).view(np.int64)
-            out = [pa.RecordBatch.from_arrays([pa.array(back[a]), pa.array(back[b]), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.binary())], names=names)] if len(a) else []
+            out = [pa.RecordBatch.from_arrays([pa.array(back[a]), pa.array(back[b]), *(pa.nulls(len(a), f.type) for f in list(schema)[2:])], schema=schema)] if len(a) else []
             if more:
                 state["chunk"] += 1
-                out.append(pa.RecordBatch.from_arrays([pa.array([x], schema.field(i).type) for i, x in enumerate((None, None, run, task << 32 | state["chunk"], codes.tobytes()))], names=names))
+                low, high = (f.reduce(codes).view(np.int64).item() for f in (np.bitwise_and, np.bitwise_or))
+                row = (None, None, run, task << 32 | state["chunk"], low, high, codes.tobytes())
+                out.append(pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema))
             return out
 
         def whole(run, codes, more):
@@ -306,6 +309,30 @@ def links(fps: DataFrame, bits: int = MOST_BITS, agree: int | None = None) -> Da
         if held:
             yield from whole(held_run, np.concatenate(held), True)
 
+    def paired(batches):
+        """Rows (run, chunk, low, high) in this order as pairs of a run's chunks that the bits
+        which each of them shares don't rule out, found by the same tree over the chunks."""
+        run, held = None, []
+
+        def pairs():
+            chunk, low, high = (np.concatenate(x) for x in zip(*held))
+            tree = GrayIndex(low.view(np.uint64), high.view(np.uint64), leaf=1)
+            for a, b in tree.near_leaves(tree, bits):
+                apart = a != b
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(apart.sum(), run)), pa.array(chunk[a[apart]]), pa.array(chunk[b[apart]])], names=["run", "x", "y"])
+
+        for batch in batches:
+            runs, *rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            cuts = [0, *(np.flatnonzero(runs[1:] != runs[:-1]) + 1).tolist(), len(runs)] if len(runs) else []
+            for i, j in zip(cuts, cuts[1:]):
+                if run is not None and runs[i] != run:
+                    yield from pairs()
+                    held = []
+                run = int(runs[i])
+                held.append([c[i:j] for c in rest])
+        if held:
+            yield from pairs()
+
     def meet(batches):
         for batch in batches:
             for run, x, y in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -318,26 +345,29 @@ def links(fps: DataFrame, bits: int = MOST_BITS, agree: int | None = None) -> Da
     ranked = fps.select("fp").mapInArrow(spread, "layout int, rank long")
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = ranked.repartitionByRange(n, "layout", "rank").sortWithinPartitions("layout", "rank")
-    found = durable(sorted_.mapInArrow(index, "a long, b long, run long, chunk long, codes binary"))
+    found = durable(sorted_.mapInArrow(index, "a long, b long, run long, chunk long, low long, high long, codes binary"))
     near = found.where("run is null").select("a", "b")
-    chunks = found.where("run is not null").select("run", "chunk", "codes")
-    x, y = chunks.toDF("run", "chunk", "codes"), chunks.toDF("run", "chunk_y", "codes_y")
-    across = x.join(y, "run").where("chunk < chunk_y").select("run", "codes", "codes_y").mapInArrow(meet, "a long, b long")
+    chunks = found.where("run is not null")
+    heads = chunks.select("run", "chunk", "low", "high").repartition("run").sortWithinPartitions("run", "chunk")
+    pairs = heads.mapInArrow(paired, "run long, x long, y long")
+    codes = chunks.select("chunk", "codes")
+    across = pairs.join(codes.toDF("x", "codes_x"), "x").join(codes.toDF("y", "codes_y"), "y").select("run", "codes_x", "codes_y").mapInArrow(meet, "a long, b long")
     return near.unionByName(across)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node of edges (a, b) with the least node of its component.
 
-    Alternates large and small stars until nothing changes; each round is checkpointed and
-    only two numbers about it reach the driver.
+    Alternates large and small stars until nothing changes; each round is checkpointed, no task
+    gets the members of a large star, and only numbers about a round reach the driver.
     """
     stars = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct())
     before = None
     while True:
-        both = stars.select(F.col("v").alias("u"), F.col("m").alias("n")).unionByName(stars.select(F.col("m").alias("u"), F.col("v").alias("n")))
-        least = both.groupBy("u").agg(F.min("n").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = both.where("n > u").join(least, "u").select(F.col("n").alias("v"), F.col("low").alias("m")).distinct()
+        # A star's centre m is replaced by the least of its own smaller neighbours; those are
+        # what it is linked to as the larger end v of a link.
+        least = stars.groupBy("v").agg(F.min("m").alias("low"))
+        large = join_hot(stars, least.select(F.col("v").alias("m"), "low"), "m", "left").select("v", F.coalesce("low", "m").alias("m")).distinct()
         low = large.groupBy("v").agg(F.min("m").alias("low"))
         small = large.join(low, "v").select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("low").alias("m")), F.struct("v", F.col("low").alias("m")))).alias("e")).select("e.*").where("v <> m").distinct()
         stars = durable(small)
@@ -356,13 +386,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     as often as they came. Empty tables give empty results; other columns are not read.
     """
     rows = durable(fingerprints(docs, id_col, text_col, shingle))
-    each = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    each = durable(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = components(links(each, bits))
     roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
-    rooted = each.join(roots, each["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(ids, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select(F.col("id").alias(id_col), "text_key", "fp", "component_id")
+    rooted = durable(each.join(roots, each["fp"] == roots["node"], "left").select("fp", "least", "root"))
+    alone, linked_ = rooted.where("root is null"), rooted.where("root is not null")
+    ids = linked_.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = join_hot(linked_, ids, "root").select("fp", "component_id").unionByName(alone.select("fp", F.col("least").alias("component_id")))
+    found = join_hot(rows, of, "fp", counts=each.select("fp", "n"))
+    return found.select(F.col("id").alias(id_col), "text_key", "fp", "component_id")
 
 
 def as_hex(fp: Column) -> Column:
@@ -372,15 +404,19 @@ def as_hex(fp: Column) -> Column:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, all columns, with the least id of each component only.
 
-    Rows that repeat that id and text count as one. Rows with a null id stay: nothing tells
-    them apart.
+    Rows that repeat that id and text count as one, whichever of them. Rows with a null id
+    stay: nothing tells them apart. Null and empty texts are one component. Empty tables stay
+    empty; columns may have any names. Only ids and hashes of texts move, and the rows that
+    repeat an id and text.
     """
     found = durable(near_duplicates(docs, id_col, text_col))
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
-    left = docs.join(gone, (docs[id_col] == gone["_gone_id"]) & (F.xxhash64(docs[text_col]) == gone["_gone_key"]), "left_anti")
-    again = found.where(f"`{id_col}` is not null").groupBy(id_col, "text_key").count().where("count > 1").limit(1).count()
-    if not again:
+    key = F.xxhash64(docs[text_col])
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("id"), "text_key").distinct()
+    left = without(docs, gone, [docs[id_col], key], ["id", "text_key"])
+    again = found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("id"), "text_key").count().where("count > 1").select("id", "text_key")
+    again = durable(again)
+    if again.isEmpty():
         return left
-    key = F.struct(F.xxhash64(text_col))
-    nulls, rest = left.where(F.col(id_col).isNull()), left.where(F.col(id_col).isNotNull()).withColumn("_text_key", key)
-    return rest.dropDuplicates([id_col, "_text_key"]).drop("_text_key").unionByName(nulls)
+    mark = fresh("text_key", docs)
+    once, more = (without(left, again, [left[id_col], F.xxhash64(left[text_col])], ["id", "text_key"], how) for how in ("left_anti", "left_semi"))
+    return once.unionByName(more.withColumn(mark, F.xxhash64(F.col(f"`{text_col}`"))).dropDuplicates([id_col, mark]).drop(mark))
