@@ -1,18 +1,24 @@
 """Benchmark decontamination: scan documents for windows of benchmark words.
 
-The normalised benchmark windows form a broadcast hash set (checked size; a shuffled join
-beyond it). Every window of every document is hashed inside generated code and probed;
-hits are verified word by word, so a hash collision never counts.
+The hashes of the normalised benchmark windows form a broadcast hash set; every window of
+every document is hashed inside generated code and probed. What passes, which is little, is
+verified word by word against the windows themselves, so a hash collision never counts. A
+benchmark of more windows than one broadcast may hold is scanned for in parts, one pass over
+the documents each; documents' windows are never shuffled.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import lower_az
+from .common import MAX_BROADCAST_ROWS, durable, join_hot, lower_az, without
 
 WINDOW = 10
-#: Windows that may be broadcast; some 300 bytes each at most for usual words.
+#: Hashes in one broadcast, some 40 bytes each.
+MAX_BROADCAST_KEYS = 2_000_000
+#: Windows that may be broadcast whole to verify hits; some 300 bytes each at most for usual words.
 MAX_BROADCAST_WINDOWS = 300_000
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -22,37 +28,41 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(lower_az(text), BREAK, -1), ""), F.array().cast("array<string>"))
 
 
+def text_key(text: Column) -> Column:
+    """What tells the text of a row: a hash, and whether there is none."""
+    return F.struct(text.isNull().alias("none"), F.xxhash64(text).alias("hash"))
+
+
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(key, size, win, items): each distinct window with the ids of the items that hold it.
 
-    An item of fewer words is one window; one without words has none. A row of size 0
-    stands for no window at all: it lets each document's header row through the join.
+    An item of fewer words is one window; one without words has none. Null ids are no items,
+    but their windows count.
     """
     words = benchmark.select(F.col(id_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("w")).where("size(w) > 0")
     size = F.least(F.lit(window), F.size("w"))
-    found = (
+    return (
         words.select("item", "w", size.alias("size"), F.explode(F.sequence(F.lit(1), F.size("w") - size + 1)).alias("at"))
         .select("item", "size", F.expr("slice(w, at, size)").alias("win"))
         .groupBy("size", "win")
         .agg(F.collect_set("item").alias("items"))
+        .select(F.xxhash64("size", "win").alias("key"), "size", "win", "items")
     )
-    none = benchmark.sparkSession.range(1).select(F.lit(0).alias("size"), F.array().cast("array<string>").alias("win"), F.array().cast("array<string>").alias("items"))
-    return found.unionByName(none).select(F.xxhash64("size", "win").alias("key"), "size", "win", "items")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per row of docs: id, text_key (hash of the text), n_words, hits, items.
+    """One row per row of docs: id, text_key, n_words, hits, items.
 
     hits: sorted structs (at, size) of windows found, at counted from 0; items: ids of the
     benchmark items found, null ids left out. Null and empty texts have no words; repeated
-    rows come back as often as they came; other columns are not read.
+    rows come back as often as they came; other columns are not read. An empty benchmark hits
+    nothing, empty docs give no rows.
     """
-    windows = benchmark_windows(benchmark, window=window)
-    facts = windows.where("size > 0").agg(F.collect_set("size").alias("sizes"), F.count(F.lit(1)).alias("n")).first()
+    windows = durable(benchmark_windows(benchmark, window=window))
+    facts = windows.agg(F.collect_set("size").alias("sizes"), F.count(F.lit(1)).alias("n")).first()
     sizes = sorted(facts["sizes"])  # at most `window` integers
-    windows = F.broadcast(windows) if facts["n"] <= MAX_BROADCAST_WINDOWS else windows
 
-    read = docs.select(F.col(id_col).alias("id"), F.struct(F.col(text_col).isNull(), F.xxhash64(text_col)).alias("text_key"), words_of(F.col(text_col)).alias("w"))
+    read = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("text_key"), words_of(F.col(text_col)).alias("w"))
     # One number for each window of each size, and -1 for the document's header row. A single
     # generator of plain numbers stays in generated code, so no row holds a copy of the words.
     n, place = F.size("w"), F.col("place")
@@ -64,9 +74,23 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         size, at = F.when(place >= begin, x).otherwise(size), F.when(place >= begin, place - begin).otherwise(at)
     starts = read.select("id", "text_key", "w", F.explode(F.sequence(F.lit(-1), begins[-1] - 1)).alias("place"))
     starts = starts.select("id", "text_key", n.alias("n"), "w", F.when(place < 0, 0).otherwise(size).alias("size"), F.when(place < 0, -1).otherwise(at).alias("at"))
-    starts = starts.select("id", "text_key", "n", "size", "at", F.expr("slice(w, greatest(at + 1, 1), size)").alias("seen"))
-    probed = starts.withColumn("key", F.xxhash64("size", "seen")).join(windows.withColumnRenamed("size", "item_size"), "key")
-    hits = probed.where((F.col("size") == F.col("item_size")) & (F.col("seen") == F.col("win")))
+    seen = F.expr("slice(w, greatest(at + 1, 1), size)")
+    starts = starts.withColumn("key", F.xxhash64("size", seen))
+
+    # The header's key, that of no words, is in the first part of the set.
+    parts = -(-facts["n"] // MAX_BROADCAST_KEYS) or 1
+    header = docs.sparkSession.range(1).select(F.xxhash64(F.lit(0), F.array().cast("array<string>")).alias("key"))
+    keys = [windows.select("key").distinct().where(F.pmod("key", F.lit(parts)) == k) for k in range(parts)]
+    keys[0] = keys[0].unionByName(header)
+    passed = reduce(DataFrame.unionByName, [starts.join(F.broadcast(x), "key", "left_semi") for x in keys])
+    passed = passed.select("id", "text_key", "n", "at", "size", F.when(F.col("at") >= 0, F.col("key")).alias("key"), seen.alias("seen"))
+    known = windows.withColumnRenamed("size", "item_size")
+    if facts["n"] <= MAX_BROADCAST_WINDOWS:
+        probed = passed.join(F.broadcast(known), "key", "left")
+    else:
+        passed = durable(passed)
+        probed = join_hot(passed.where("at >= 0"), known, "key").unionByName(passed.where("at < 0"), allowMissingColumns=True)
+    hits = probed.where((F.col("at") < 0) | (F.col("size") == F.col("item_size")) & (F.col("seen") == F.col("win")))
     return (
         hits.select("id", "text_key", "n", "at", "size", "items")
         .groupBy("id", "text_key")
@@ -108,10 +132,13 @@ def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, without the rows whose text holds a benchmark window."""
-    bad = judge(docs, benchmark, id_col, text_col).where("contaminated").select(F.col(id_col).alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
-    key = F.struct(docs[text_col].isNull(), F.xxhash64(docs[text_col]))
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad_id"]) & (key == bad["_bad_key"]), "left_anti")
+    """docs, all columns, without the rows whose text holds a benchmark window.
+
+    Rows with a null id or text are judged like others; rows repeat as they come; columns may
+    have any names. Only ids and hashes of the rows to go are compared with docs.
+    """
+    bad = judge(docs, benchmark, id_col, text_col).where("contaminated").select(F.col(id_col).alias("id"), "text_key.none", "text_key.hash").distinct()
+    return without(docs, bad, [docs[id_col], docs[text_col].isNull(), F.xxhash64(docs[text_col])], ["id", "none", "hash"])
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,9 +146,10 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     A row without a hit keeps its text untouched.
     """
-    found = scan(docs, benchmark, id_col, text_col).where("size(hits) > 0").dropDuplicates(["id", "text_key"]).select("id", "text_key", "hits")
-    read = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col), F.struct(F.col(text_col).isNull(), F.xxhash64(text_col)).alias("_key"))
-    joined = read.join(found, read[id_col].eqNullSafe(found["id"]) & (read["_key"] == found["text_key"]), "left")
+    found = durable(scan(docs, benchmark, id_col, text_col).where("size(hits) > 0").dropDuplicates(["id", "text_key"]).select("id", "text_key", "hits"))
+    small = found.limit(MAX_BROADCAST_ROWS + 1).agg(F.sum(F.size("hits"))).first()[0] or 0
+    read = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col), text_key(F.col(text_col)).alias("_key"))
+    joined = read.join(F.broadcast(found) if small <= MAX_BROADCAST_ROWS else found, read[id_col].eqNullSafe(found["id"]) & (read["_key"] == found["text_key"]), "left")
     kept = F.expr(f"""array_join(transform(filter(transform(w, (x, i) -> struct(x, i)),
         p -> not exists(hits, h -> p.i >= h.at and p.i < h.at + h.size)), p -> p.x), ' ')""")
-    return joined.withColumn("w", words_of(F.col(text_col))).select(id_col, F.when(F.size("hits") > 0, kept).otherwise(F.col(text_col)).alias(text_col))
+    return joined.withColumn("w", words_of(F.col(text_col))).select(read[id_col], F.when(F.size("hits") > 0, kept).otherwise(F.col(text_col)).alias(text_col))
