@@ -159,8 +159,9 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` rows with a language that are not held out.
 
-    Rows are chosen by a hash of the id over the whole table; null, empty and letterless
-    texts teach nothing. Without rows the model knows no language.
+    Rows are chosen by a hash of the id over the whole table, of one id by a hash of the text,
+    so the same table teaches the same; null, empty and letterless texts teach nothing. Without
+    rows the model knows no language.
     """
     pool = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & ~held_out(F.col("id")))
     order = F.xxhash64(F.col("id").cast("string"))
@@ -170,18 +171,21 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def run(batches):
         for batch in batches:
-            found = [(lang, x) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (x := features(text))]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([i.astype("<u2").tobytes() for _, (i, _) in found], pa.binary()), pa.array([s.tobytes() for _, (_, s) in found], pa.binary())], names=["lang", "buckets", "shares"])
+            found = [(o, h, lang, x) for o, h, lang, text in zip(*(c.to_pylist() for c in batch.columns)) if (x := features(text))]
+            columns = [[x[0] for x in found], [x[1] for x in found], [x[2] for x in found], [i.astype("<u2").tobytes() for *_, (i, _) in found], [s.tobytes() for *_, (_, s) in found]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()))], names=["o", "h", "lang", "buckets", "shares"])
 
     chosen = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)) & (F.xxhash64(F.col(id_col).cast("string")) <= F.lit(last)))
-    rows = chosen.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).limit(2 * sample).mapInArrow(run, "lang string, buckets binary, shares binary").collect()
+    read = chosen.select(F.xxhash64(F.col(id_col).cast("string")).alias("o"), F.xxhash64(text_col).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = read.mapInArrow(run, "o long, h long, lang string, buckets binary, shares binary").orderBy("o", "h", "lang").limit(sample).collect()
     rows = sorted((r["lang"], r["buckets"], r["shares"]) for r in rows)
     return fit([(lang, np.frombuffer(b, "<u2").astype(np.int64), np.frombuffer(s, np.float32)) for lang, b, s in rows])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", columns: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
     """(row, language, score): each row of docs as a struct, with its prediction from the
-    whole text. Null, empty and letterless texts are `und` with score 0."""
+    whole text. Null, empty and letterless texts are `und` with score 0; ties go to the first
+    language in order; rows repeat as they come; an empty table gives no rows."""
 
     def run(batches):
         for batch in batches:
@@ -194,13 +198,36 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", columns: tupl
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """id, held_out, lang_pred and score of every row; lang is only learned from."""
+    """id, held_out, lang_pred and score of every row; lang is only learned from.
+
+    Null, empty and letterless texts are `und` with score 0, as all are where no row has a
+    language. A null id counts as empty text. Repeated rows come back as often as they came,
+    empty tables give no rows; other columns are not read.
+    """
     model = learn(docs, id_col, text_col, lang_col)
     found = predict(docs.select(id_col, text_col), model, text_col)
     return found.select(F.col("row")[id_col].alias(id_col), held_out(F.col("row")[id_col]).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, least_score: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs, all columns, without rows of no known language or of a score under least_score."""
-    found = predict(docs, learn(docs, id_col, text_col, lang_col), text_col)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("row.*")
+#: Score under which a prediction is more likely wrong than right.
+LEAST_SCORE = 0.5
+
+
+def keep_languages(docs: DataFrame, wanted: tuple[str, ...] | None = None, least_score: float = LEAST_SCORE, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs, all columns, whose text is in a wanted language, or in any that the model knows;
+    where lang_col is null it gets the prediction.
+
+    Texts without a letter (null and empty ones too) go, and so does a prediction scored under
+    least_score. The model is learned from docs if none is given; where no row has a language
+    to learn from, every text with a letter stays as it is. Rows repeat as they come; an empty
+    table stays empty; columns may have any names.
+    """
+    model = learn(docs, id_col, text_col, lang_col) if model is None else model
+    if not model.family_of:
+        return docs.where(docs[text_col].rlike(r"\p{L}"))
+    found = predict(docs, model, text_col)
+    good = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)
+    if wanted is not None:
+        good = good & F.col("lang_pred").isin(list(wanted))
+    row = F.col("row")
+    return found.where(good).select(*[(F.coalesce(row[c], F.col("lang_pred")) if c == lang_col else row[c]).alias(c) for c in docs.columns])
