@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from stratalog.llm import chat_pairs, decontaminate, html_extract, langid, license_scan, packing, quality, secrets, simhash, url_filter
 
+from stratalog.llm.common import join_hot
+
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, row string, id string, w string"
@@ -98,6 +100,37 @@ def test_near_duplicates_of_odd_rows(docs, nothing):
     assert simhash.keep_one(docs).columns == docs.columns and simhash.keep_one(nothing).count() == 0
 
 
+def test_keep_one_with_clashing_columns_and_repeats(spark):
+    schema = "doc_id long, text string, text_key long, _text_key string, id long, component_id long, fp long, root long"
+    rows = [(1, "a b c d e", 9, "k", 5, 6, 7, 8)] * 3 + [(2, "a b c d e", 9, "k", 5, 6, 7, 8), (3, "other words stand here", 1, "k", 5, 6, 7, 8), (4, None, 1, "k", 5, 6, 7, 8), (4, None, 1, "k", 5, 6, 7, 8)]
+    docs = spark.createDataFrame(rows, schema)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+    assert sorted(r.id for r in simhash.keep_one(docs.drop("doc_id"), "id").collect()) == [5, 5, 5]  # one id, three texts
+
+
+def test_one_giant_component_is_no_hot_key(spark):
+    """A chain of neighbours that all tasks hold parts of: one component of a third of all rows."""
+    chain = [(1 << 40) - 1 << 4 & ~((1 << k) - 1) for k in range(44)]
+    texts = [(i, f"word{i} alone here now") for i in range(60)]
+    prints = spark.createDataFrame([(k, x) for k, x in enumerate(chain)], "id long, fp long")
+    found = {r.node: r.root for r in simhash.components(simhash.links(prints)).collect()}
+    assert len(set(found.values())) == 1 and len(found) >= len(set(chain)) - 1
+    copies = [(100 + i, "the same text again and again") for i in range(400)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(texts + copies, "doc_id long, text string")).collect()}
+    assert got == brute(dict(texts + copies))
+
+
+def test_hot_keys_are_joined_where_they_lie(spark):
+    rows = spark.range(1000).selectExpr("if(id % 3 = 0, 7, id) as k", "id as x")
+    facts = spark.range(1000).selectExpr("id as k", "id * 2 as y").where("k <> 5")
+    for how in ("inner", "left"):
+        found = join_hot(rows, facts, "k", how)
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, rows.join(facts, "k", how).collect()), key=str)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan
+
+
 def test_components_of_a_long_chain(spark):
     n = 40
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 100), (7, 6)], "a long, b long")
@@ -174,12 +207,36 @@ def test_decontamination_equals_brute_force(spark, docs, nothing):
     assert {r.contaminated for r in decontaminate.judge(df, bench.limit(0)).collect()} == {False}
 
 
-def test_decontamination_without_a_broadcast(spark, monkeypatch):
-    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
-    df = spark.createDataFrame([(1, "x alpha beta gamma"), (2, "y")], "doc_id long, text string")
-    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_WINDOWS", 0)
-    found = decontaminate.judge(df, bench)
-    assert {r.doc_id: r.n_hit for r in found.collect()} == {1: 3, 2: 0}
+@pytest.mark.parametrize("keys,windows", [(7, 0), (7, 300_000), (10**6, 0)])
+def test_decontamination_of_a_large_benchmark(spark, monkeypatch, keys, windows):
+    """More windows than one broadcast holds: several passes, and verification by a shuffled
+    join; a passage that most documents hold is a hot key there."""
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_KEYS", keys)
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_WINDOWS", windows)
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(40)]
+    passage = " ".join(rng.choice(vocabulary, 14))
+    items = [(1, passage), (2, "short item"), (None, "no id")] + [(10 + i, " ".join(rng.choice(vocabulary, int(rng.integers(8, 16))))) for i in range(12)]
+    texts = [(i, " ".join(rng.choice(vocabulary, 30)) + (" " + passage if i % 3 else "")) for i in range(60)] + [(70, items[5][1] + " short item"), (71, None), (72, "")]
+    texts += texts[:5]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+        judged = decontaminate.judge(df, bench)
+        plan = judged._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("LeftSemi") >= (4 if keys == 7 and windows else 1) or not windows
+        assert ("SortMergeJoin" in plan or "ShuffledHashJoin" in plan) == (not windows)
+        found = by_id(judged)
+        left = {r.doc_id for r in decontaminate.remove_documents(df, bench).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    named = [(i, t) for i, t in items if i is not None]
+    for i, t in texts:
+        want = slow_judge(t, named)
+        assert len(found[i]) == sum(x == i for x, _ in texts)
+        assert {(r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in found[i]} == {want}
+    assert left == {i for i, t in texts if not slow_judge(t, named)[4]}
 
 
 # -- the others ------------------------------------------------------------------------------------
@@ -190,13 +247,30 @@ def test_language_id(spark, docs, nothing):
     assert len(found[0]) == 3 and all(found[k][0].lang_pred == "und" and found[k][0].score == 0 for k in (3, 4, 5, 6))
     assert found[0][0].held_out == (zlib.crc32(b"0") % 5 == 0) and found[None][0].held_out is True
     assert all(0 <= r.score <= 1 and r.lang_pred in ("en", "de", "und") for x in found.values() for r in x)
-    kept = langid.keep_known(docs)
-    assert kept.columns == docs.columns and 3 not in by_id(kept)
-    assert langid.identify(nothing).count() == 0 and langid.keep_known(nothing).columns == nothing.columns
+    assert langid.identify(nothing).count() == 0
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.identify(unlabelled).collect()} == {"und"}
 
 
+def test_keep_languages(spark, docs, nothing):
+    words = {"en": "the and of house water thing", "de": "und der haus wasser ding nicht", "fr": "le et maison eau chose pas"}
+    rng = np.random.default_rng(3)
+    rows = [(100 + i, " ".join(rng.choice(words[lang].split(), 12)), lang if i % 5 else None, "s", lang, 0.0) for i, lang in enumerate(list(words) * 40)]
+    rows += [(1, None, "en", "s", None, 0.0), (2, "", "en", "s", None, 0.0), (3, "12 !", "en", "s", None, 0.0), (4, "Жизнь прекрасна", None, "s", None, 0.0), rows[0], rows[0]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, row string, lang_pred string, score double")
+    kept = langid.keep_languages(df)
+    found = by_id(kept)
+    assert kept.columns == df.columns and not {1, 2, 3} & set(found) and len(found[100]) == 3
+    assert all(found[i][0].lang == lang for i, _, _, _, lang, _ in rows if i >= 100)  # where it was null as well
+    assert {r.lang for r in langid.keep_languages(df, ("de",)).collect()} == {"de"}
+    english = langid.fit([("en", *langid.features(t)) for _, t, _, _, lang, _ in rows if lang == "en"] + [("de", *langid.features(t)) for _, t, _, _, lang, _ in rows if lang == "fr"])
+    assert {r.lang_pred for r in langid.keep_languages(df, ("de",), model=english).where("doc_id >= 100").collect()} != {"de"}  # another model keeps others
+    assert langid.keep_languages(df, least_score=1.01).count() == 0
+    unlabelled = langid.keep_languages(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert not {3, 4, 5, 6} & set(by_id(unlabelled)) and {0, 1, 2, 7, 50} <= set(by_id(unlabelled)) and unlabelled.columns == docs.columns
+    assert langid.keep_languages(nothing).columns == nothing.columns and langid.keep_languages(nothing).count() == 0
+
+
 def test_language_id_learns_nothing_from_held_out_rows(spark):
     rows = [(i, "the house and the river" if i % 2 else "das haus und der fluss", "en" if i % 2 else "de") for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")

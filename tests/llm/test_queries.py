@@ -38,6 +38,26 @@ def test_languages_held_out(spark):
     assert held and sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.95 * len(held)
 
 
+def test_pipeline_stages_take_odd_rows(spark, tmp_path):
+    """Every stage on nulls, empty and long texts, repeats, clashing columns; and on no rows."""
+    os.symlink(f"{SF}/benchmark.parquet", tmp_path / "benchmark.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, id long, text_key string, hash long, none boolean"
+    more = ("x", 1, "k", 2, True)
+    rows = [(i, f"the words of document {i} are these and no others {i * 7}", "en", "s", 1, *more) for i in range(12)]
+    rows += [rows[0], (50, None, "en", None, None, *more), (51, "", None, "s", 0, *more), (52, "long " * 50_000, None, "s", None, *more), (None, "a row that has no id at all", "en", "s", 3, *more)]
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, schema)
+        docs.write.parquet(f"{tmp_path}/{len(data)}/documents.parquet")
+        os.symlink(f"{SF}/benchmark.parquet", tmp_path / str(len(data)) / "benchmark.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns
+            ids = [r.doc_id for r in out.collect()]
+            assert len(ids) == {"language_id": len(data) - 2, "near_duplicates": len(data) - 2}.get(name, len(data)) if data else not ids, name
+        found = corpus_pipeline.run(spark, f"{tmp_path}/{len(data)}").collect()
+        assert {r.doc_id for r in found} == ({*range(12), 52, None} if data else set())
+
+
 def test_pipeline(spark):
     """Plain Python over the same documents gives the same pieces of text."""
     docs = {r.doc_id: r for r in corpus_pipeline.language_id(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect()}
