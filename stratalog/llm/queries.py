@@ -58,7 +58,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(table(spark, sf_dir, "documents"))
+    return secrets.report(table(spark, sf_dir, "documents"), vocabulary=byte_bpe())
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
