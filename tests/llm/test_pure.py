@@ -195,15 +195,73 @@ def test_base_spans():
         assert [s for s in secrets.spans(text) if s[0] != "guess"] == slow_base(text), text
 
 
+BPE_WORDS = secrets.vocabulary_words(BPE)
+
+
+def slow_bits(value, words):
+    """Every cut of a value into pieces, by a plain quadratic recursion over all pieces."""
+    lower, best = value.lower(), [0.0]
+    each = np.log2(secrets.alphabet(value))
+    steps = [(a, b) in secrets.STEPS for a, b in zip(lower, lower[1:])]
+    for j in range(1, len(value) + 1):
+        costs = [best[j - 1] + each]
+        for i in range(j - 2):
+            piece = value[i:j]
+            if all(steps[i : j - 1]):
+                costs.append(best[i] + 1 + 6 + (j - i - 1))
+            if value.find(piece) < i:
+                costs.append(best[i] + 3 + np.log2(j))
+            if secrets.DATE.fullmatch(piece) and 4 <= j - i <= 10:
+                costs.append(best[i] + 1 + (7 if j - i == 4 else 15))
+            if (bits := secrets.word_bits(piece, lower[i:j], lower[i:j].translate(secrets.LEET), words)) is not None:
+                costs.append(best[i] + bits)
+        best.append(min(costs))
+    return best[-1]
+
+
+def test_guess_cost_is_the_minimum():
+    rng = random.Random(8)
+    parts = ["password", "P@ssw0rd", "dragon", "qwerty", "asdf", "abcdefghij1", "1987", "2024-01-31", "31.12.99", "aaaa", "abc", "x", "Z", "9", "$", "_", "trvx", "Kq7", "é", "correct", "horse", "SHADOW", "ababab"]
+    values = ["".join(rng.choices(parts, k=rng.randint(1, 7))) * rng.choice([1, 1, 1, 2, 4]) for _ in range(3000)]
+    values += ["".join(rng.choices("ab1", k=rng.randint(1, 40))) for _ in range(500)] + ["".join(chr(rng.randint(33, 126)) for _ in range(rng.randint(1, 40))) for _ in range(1000)]
+    for value in values:
+        for words in (secrets.COMMON, BPE_WORDS):
+            assert abs(secrets.guess_bits(value, words) - slow_bits(value, words)) < 1e-9, value
+
+
 def test_guess_cost():
-    low = ["password", "Password1", "qwertyuiop", "aaaaaaaaaa", "2024-01-31", "abc123abc123", "dragon1987", "p@ssw0rd"]
-    assert all(secrets.guess_bits(v) < 30 for v in low)
-    assert all(secrets.guess_bits(v) > 60 for v in ["xK9#mP2$vL5n", "f33e61083db5dbdf4bd2369d2f80176e", "Zx81kQw92Lmn7"])
+    low = ["password", "Password1", "qwertyuiop", "aaaaaaaaaa", "2024-01-31", "abc123abc123", "dragon1987", "p@ssw0rd", "abcdefghij1" * 4, "administrator", "understanding"]
+    assert all(secrets.guess_bits(v, BPE_WORDS) < 40 for v in low)
+    assert all(secrets.guess_bits(v, BPE_WORDS) > 60 for v in ["xK9#mP2$vL5n", "f33e61083db5dbdf4bd2369d2f80176e", "Zx81kQw92Lmn7"])
+    assert 45 < secrets.guess_bits("correcthorsebatterystaple", BPE_WORDS) < 65
     assert secrets.guess_bits("") == 0 and secrets.guess_bits("aB3$" * 5000) < 200  # linear time
     assert secrets.spans('pwd: "xK9#mP2$vL5n" x') == [("guess", 6, 18)]
     assert secrets.spans("pwd: password123 and pass: sunshine2024") == []
     assert secrets.spans("db://u:Zx81kQw92Lmn7@h") == [("guess", 7, 20)]
     assert secrets.spans("The bearer of this letter. Basic information is key: river") == []
+    assert secrets.spans("token = Zx81kQw92Lmn7") == [("assign", 0, 21), ("guess", 8, 21)]  # the method judges base values too
+    assert secrets.spans("token = password123") == [("assign", 0, 19)]
+
+
+def test_contexts_have_no_caps():
+    value = "Zx81kQw92Lmn7"
+    for gap in ("", " " * 5, "\t" * 50_000, "\n  ", " \r\n"):
+        text = f"pwd ={gap}{value}"
+        assert secrets.spans(text) == [("guess", len(text) - len(value), len(text))]
+    assert secrets.spans("x" * 70_000 + " api_access_private_secret_key: " + value)[0][0] == "guess"
+    assert secrets.spans(("pwd" + " " * 999) * 500) == [] and secrets.spans("api_" * 50_000) == []  # linear time
+
+
+def test_precision_and_recall_of_guesses():
+    """Generated values are found; words, phrases and placeholders of prose are not."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    made = ["".join(rng.choices(letters, k=rng.randint(12, 40))) for _ in range(500)] + ["%032x" % rng.getrandbits(128) for _ in range(200)]
+    names = ["pwd", "smtp_pass", "api key", "DB_SECRET", "auth", "Authorization", "credential"]
+    assert sum(bool([x for x in secrets.spans(f"{rng.choice(names)}: {v} end", words=BPE_WORDS) if x[0] == "guess"]) for v in made) >= 0.98 * len(made)
+    frequent = [w for w in list(BPE_WORDS.rank)[100:4000] if w.isalpha()]
+    plain = [rng.choice(frequent) + rng.choice(["", "-", "_"]) + rng.choice(["", rng.choice(frequent)]) + rng.choice(["", "1", "2023", "!"]) for _ in range(500)]
+    assert sum(any(x[0] == "guess" for x in secrets.spans(f"{rng.choice(names)}: {v} end", words=BPE_WORDS)) for v in plain) <= 0.02 * len(plain)
 
 
 @pytest.mark.parametrize("name", ["AWS_SECRET_ACCESS_KEY=", "aws_secret_access_key = ", "DJANGO_SECRET_KEY=", "DB_PWD=", "smtp_pass: ", "SSH_PRIVATE_KEY=", "db.pwd=", "db-pass=", "smtpPass: ", "awsSecretAccessKey=", "secret key: "])
@@ -219,7 +277,7 @@ def test_values_without_a_digit_are_judged_by_their_cost():
     assert secrets.spans("pwd: 'kXqZ!vRw#mPtLsBn'") == [("guess", 6, 22)]
     assert secrets.spans("Authorization: Bearer kXqZvRwmPtLsBn") == [("guess", 22, 36)]
     for prose in ("the bearer certificates", "auth: authentication", "Authorization: required-permission", "credentials: administrator", "passphrase: understanding everything"):
-        assert secrets.spans(prose) == [], prose
+        assert secrets.spans(prose, words=BPE_WORDS) == [], prose
 
 
 def test_host_and_port_swallow_no_context():
