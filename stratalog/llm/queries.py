@@ -31,7 +31,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents"))
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("hits")
 
 
 def op5_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,17 +110,17 @@ def _rule_sql() -> str:
 
 
 def _terms_sql(terms: list[str]) -> str:
-    hits = [f"CAST(regexp_matches(place, '(^|[^\\pL\\pN]){t}($|[^\\pL\\pN])') AS INTEGER)" for t in terms]
+    hits = [f"CAST(regexp_matches(place, '(^|[^\\pL\\pN]){t}($|[^\\pL\\pN])') OR regexp_matches(decoded, '(^|[^\\pL\\pN]){t}($|[^\\pL\\pN])') AS INTEGER)" for t in terms]
     return " + ".join(hits)
 
 
 OP6_SQL = f"""
 WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 place AS (
-    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    SELECT page_id, rest, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
            regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
 ),
-ruled AS (SELECT *, host || lower(path) AS place, {_rule_sql()} AS r FROM place)
+ruled AS (SELECT *, lower(rest) AS place, lower(url_decode(rest)) AS decoded, {_rule_sql()} AS r FROM place)
 SELECT page_id, host, path, r.rule AS rule,
        coalesce(r.verdict, CASE WHEN {_terms_sql(url_filter.STRICT)} >= 1 OR {_terms_sql(url_filter.SOFT)} >= {url_filter.LEAST_SOFT} THEN 'block' ELSE 'allow' END) AS verdict
 FROM ruled
@@ -212,32 +212,40 @@ FROM counted
 
 def op4_sql() -> str:
     """The classifier with its trained weights as a table."""
-    classes, weights, bias, least = license_scan.trained()
+    classes, weights, bias, like, least = license_scan.trained()
+    n = len(license_scan.TEMPLATES)
     rows = ", ".join(f"('{g}', {w})" for g, w in sorted(weights.items()))
-    cue = license_scan.cue_pattern()
+    cue, wrapped = license_scan.cue_pattern(), license_scan.WRAPPED
     sums = ", ".join(f"{b} + CAST(coalesce(sum(w[{k + 1}]), 0) AS BIGINT) AS s{k}" for k, b in enumerate(bias))
-    families = ", ".join(f"struct_pack(score := s{k}, family := '{c}')" for k, c in enumerate(classes[:-1]))
-    templates = ", ".join(f"('{f}', [{_quoted(sorted(set(t.split())))}])" for f, ts in license_scan.TEMPLATES.items() for t in ts)
+    families = ", ".join(f"struct_pack(score := s{k}, family := '{c}')" for k, c in enumerate(classes[:n]))
+    templates = ", ".join(f"('{f}', {k}, '{x}', {license_scan.WEIGHT[x]}, {license_scan.weight(license_scan.pairs(t))})" for f, ts in license_scan.TEMPLATES.items() for k, t in enumerate(ts) for x in sorted(license_scan.pairs(t)))
     return f"""
 WITH weight AS (SELECT * FROM (VALUES {rows}) AS v(gram, w)),
-template AS (SELECT * FROM (VALUES {templates}) AS v(family, words)),
-line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+template AS (SELECT * FROM (VALUES {templates}) AS v(family, k, pair, weight, total)),
+whole AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '{wrapped}', '\\1 \\2', 'g'), '{wrapped}', '\\1 \\2', 'g'), chr(10)) AS p FROM documents),
+line AS (SELECT doc_id, unnest(p) AS x, unnest(range(len(p))) AS i FROM whole),
 para AS (SELECT doc_id, i, list_filter(regexp_split_to_array(lower(x), '[^a-z0-9]+'), lambda v: v <> '') AS words FROM line WHERE regexp_matches(x, '{cue}')),
 sized AS (SELECT doc_id, i, words, unnest([1, 2, 3]) AS n FROM para),
 gram AS (
-    SELECT DISTINCT doc_id, i, array_to_string(g, ' ') AS gram
-    FROM (SELECT doc_id, i, words[k:k + n - 1] AS g FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS k FROM sized WHERE len(words) >= n))
-    WHERE list_has_any(g, [{_quoted(license_scan.CUES)}])
+    SELECT DISTINCT doc_id, i, array_to_string(words[k:k + n - 1], ' ') AS gram
+    FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS k FROM sized WHERE len(words) >= n)
 ),
 scored AS (SELECT doc_id, i, {sums} FROM para LEFT JOIN gram USING (doc_id, i) LEFT JOIN weight USING (gram) GROUP BY doc_id, i),
-best AS (SELECT doc_id, i, list_max([{families}]) AS b, s{len(classes) - 1} AS unknown FROM scored),
+best AS (SELECT doc_id, i, list_max([{families}]) AS b, s{n} AS u, s{n + 1} AS o FROM scored),
 held AS (
-    SELECT doc_id, i, b.family AS family, b.score - unknown AS lead, max(len(list_intersect(para.words, template.words)) / len(template.words)) AS share
-    FROM best JOIN para USING (doc_id, i) JOIN template ON template.family = b.family WHERE b.score - unknown > {least} GROUP BY ALL
+    SELECT doc_id, i, max(share) AS held FROM (
+        SELECT best.doc_id, best.i, k, round(CAST(sum(CASE WHEN gram IS NULL THEN 0 ELSE weight END) AS DOUBLE) / max(total), 6) AS share
+        FROM best JOIN template ON template.family = b.family LEFT JOIN gram ON gram.doc_id = best.doc_id AND gram.i = best.i AND gram = pair GROUP BY ALL)
+    GROUP BY doc_id, i
+),
+hit AS (
+    SELECT doc_id, i, b.score - greatest(u, o) AS lead, CASE WHEN b.score - greatest(u, o) > {least} AND held > {license_scan.CONFIRMED} THEN b.family ELSE '{license_scan.UNKNOWN}' END AS family
+    FROM best JOIN held USING (doc_id, i) SEMI JOIN gram ON gram.doc_id = best.doc_id AND gram.i = best.i AND gram IN ({_quoted(license_scan.TELLING)})
+    WHERE greatest(b.score, u) - o > {like}
 ),
-hit AS (SELECT * FROM held WHERE share >= {license_scan.CONFIRMED}),
 found AS (
-    SELECT doc_id, count(*) AS n, string_agg(DISTINCT family, ',' ORDER BY family) AS families, arg_max(family, struct_pack(a := lead, b := -i)) AS license
+    SELECT doc_id, count(*) AS n, string_agg(DISTINCT family, ',' ORDER BY family) AS families,
+           arg_max(family, struct_pack(a := family <> '{license_scan.UNKNOWN}', b := lead, c := -i)) AS license
     FROM hit GROUP BY doc_id
 )
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_licenses, coalesce(families, '') AS families, license FROM documents LEFT JOIN found USING (doc_id)
