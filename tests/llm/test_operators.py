@@ -317,14 +317,29 @@ def test_url_terms_after_the_path(spark):
 
 
 def test_license_scan(spark, docs, nothing):
-    texts = ["A text.\nLicensed under the Apache License, Version 2.0.", "Released under the MIT License.\nThis work is licensed under the GNU General Public License, version 3.", "Her license plate was dirty.\nShe studied at MIT.", "Licensed under CC BY-NC 4.0."]
-    df = spark.createDataFrame([(i, t, "z", 1) for i, t in enumerate(texts)] + [(0, texts[0], "z", 1), (9, None, "z", 1), (None, texts[3], "z", 1)], "doc_id long, text string, gram string, w int")
+    texts = ["A text.\nLicensed under the Apache License, Version 2.0.", "Released under the MIT License.\nThis work is licensed under the GNU General Public License, version 3.", "Her license plate was dirty.\nShe studied at MIT.", "Licensed under CC BY-NC 4.0.", "Licensed under\nthe Apache\n  License, Version\r\n2.0\n", "Words before.\nLicensed under the Eclipse Public License, version 2.0.", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.', "Released under the MIT License.\nLicensed under the EUPL 1.2.", "the license " + "of words " * 30_000, "Ein Haus mit Garten, mit Hof. Er ist mit der Bahn gekommen", "Die Lage ümit der Stadt"]
+    df = spark.createDataFrame([(i, t, "z", 1) for i, t in enumerate(texts)] + [(0, texts[0], "z", 1), (19, None, "z", 1), (None, texts[3], "z", 1)], "doc_id long, text string, hits string, paragraph int")
     found = by_id(license_scan.scan(df))
-    assert [found[i][0].families for i in range(4)] == ["apache", "gpl,mit", "", "cc_by_nc"]
-    assert len(found[0]) == 2 and {r.n_licenses for r in found[0]} == {1} and found[9][0].license is None and found[None][0].license == "cc_by_nc"
+    assert [found[i][0].families for i in range(11)] == ["apache", "gpl,mit", "", "cc_by_nc", "apache", "unknown", "mit", "mit,unknown", "", "", ""]
+    assert len(found[0]) == 2 and {r.n_licenses for r in found[0]} == {1} and found[19][0].license is None and found[None][0].license == "cc_by_nc"
+    assert [found[i][0].license for i in (5, 7)] == ["unknown", "mit"] and found[4][0].hits[0].paragraph == 0
     assert license_scan.scan(nothing).count() == 0 and len(by_id(license_scan.scan(docs))[0]) == 3
 
 
+def test_license_classes_equal_plain_python(spark):
+    """The DataFrame functions give each example, and odd mixtures, the class that Python gives."""
+    rng = np.random.default_rng(2)
+    classes, weights, bias, like, least = license_scan.trained()
+    at, w = {g: i for i, g in enumerate(weights)}, np.array(list(weights.values()))
+    known = [t for _, t in license_scan.examples()]
+    texts = known + ["license " + " ".join(rng.choice(" ".join(known).split(), int(rng.integers(1, 25)))) for _ in range(300)]
+    texts = [t for t in texts if re.search(license_scan.cue_pattern(), t)]
+    found = by_id(license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")))
+    for i, t in enumerate(texts):
+        name, _, lead = license_scan.judged(t, at, w, np.array(bias), like, least)
+        assert (found[i][0].license or "none") == name and (name == "none" or found[i][0].hits[0].lead == lead), t
+
+
 def test_chat_pairs(spark):
     turn = "conv_id long, turn int, role string, text string, at int"
     rows = [(1, 0, "user", "hi", 0), (1, 1, "assistant", "yes", 0), (2, 0, "user", "hi", 0), (2, 1, "assistant", "no", 0), (2, 1, "assistant", "no", 0), (4, 0, "system", None, 0), (None, 0, "user", "x", 0)]
