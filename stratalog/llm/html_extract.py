@@ -8,8 +8,8 @@ host's wrapper, a union-free regular expression over block tags.
 
 Each page is then matched against its host's wrapper, which puts every text into one of the
 wrapper's slots. A slot is constant if all pages that fill it do so with the same text, and
-pages of different content do, copies not counted; what stands there is the host's template. A page's main text is what
-stands in changing slots: inside the page's article or main element if a changing slot lies
+several pages of different content do, copies not counted; what stands there is the host's
+template. A page's main text is what stands in changing slots: inside the page's article or main element if a changing slot lies
 there, else under the wrapper's node that most of the changing text of the host shares, else
 anywhere. Menus, notices, forms and the like are told by their tags, roles and classes.
 """
@@ -19,13 +19,17 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import sys
+from collections import OrderedDict
+from collections.abc import Callable
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import durable, spread
-from .url_filter import parts
 
 # Element names.
 BLOCKS = frozenset(
@@ -54,8 +58,13 @@ LANDMARKS = ("article", "main")
 HAVING = frozenset("has have having with no without not".split())
 #: Screens on which a class hides an element; it is shown on others.
 SCREENS = frozenset("xs sm md lg xl xxl phone mobile tablet desktop print small medium large up down".split())
-#: Levels of a page and blocks of one parent that a wrapper tells apart; text is never cut.
-DEPTH, WIDTH = 60, 200
+#: Levels of a page that are told apart, as in browsers; what lies deeper belongs to the last.
+DEPTH = 512
+#: Blocks of one parent, runs folded, up to which their order counts; a longer sequence is
+#: generalised to any number of each label, which bounds a wrapper's size. Text is never cut.
+WIDTH = 200
+#: Different pages that must fill a slot with the same text for it to be constant.
+LEAST_PAGES = 3
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:![^>]*|\?[^>]*)>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z][-\w:]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PIECES = re.compile(r"[a-z]+")
@@ -76,6 +85,7 @@ def words(mark: str) -> set[str]:
     return out
 
 
+@lru_cache(65_536)
 def signature(name: str, attributes: str) -> tuple[str, int]:
     """Name with class and role, digits as 0; and whether the element is not main text: 1 by
     a class, id or role, 2 by its name or as hidden."""
@@ -96,7 +106,7 @@ def signature(name: str, attributes: str) -> tuple[str, int]:
 
 
 class Page:
-    """Blocks of a page in order: (path, text, noise, landmarks around); and the tree of its
+    """Blocks of a page in order: (label, text, noise, landmarks around); and the tree of its
     block tags, in which what lies deeper than DEPTH belongs to its ancestor there.
 
     Noise holds for all that lies below. But where all landmarks lie below an element that is
@@ -104,7 +114,7 @@ class Page:
     the clean rest of the page, they are main text."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[tuple[str, ...], str, bool, frozenset]] = []
+        self.blocks: list[tuple[str, str, bool, frozenset]] = []
         self.held: list[list] = []  # the text node of the tree that holds each block
         self.tree: list = ["", []]
         self._names, self._labels, self._noise = [""], [""], [False]
@@ -117,14 +127,14 @@ class Page:
         if not self.landmark():
             lifted = {i for i, clean in enumerate(self._clean) if clean and self.blocks[i][3]}
             if sum(len(self.blocks[i][1]) for i in lifted) > sum(len(text) for _, text, noise, _ in self.blocks if not noise):
-                self.blocks = [(path, text, noise and i not in lifted, marks) for i, (path, text, noise, marks) in enumerate(self.blocks)]
+                self.blocks = [(label, text, noise and i not in lifted, marks) for i, (label, text, noise, marks) in enumerate(self.blocks)]
 
     def _flush(self) -> None:
         if self._text:
             text = " ".join(entities.unescape("".join(self._text)).split())
             self._text.clear()
             if text:
-                self.blocks.append((tuple(self._labels[1 : DEPTH + 1]), text, self._noise[-1], self._marks[-1]))
+                self.blocks.append((self._labels[-1], text, self._noise[-1], self._marks[-1]))
                 self._clean.append(not self._inner[-1])
                 children = self._nodes[-1][1]
                 if not children or children[-1][0] != "#":
@@ -207,6 +217,9 @@ class Page:
 GROUP = "()"
 
 
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 10 * DEPTH))  # these functions follow a page's levels
+
+
 def folded(children: list) -> list:
     """A page's nodes as wrapper nodes, runs of like siblings as one repeated node and runs
     of like sequences as one repeated group."""
@@ -406,16 +419,10 @@ class Matcher:
 
 # -- over the cluster ---------------------------------------------------------------------------
 
-#: Characters of wrappers that may be broadcast.
-MAX_BROADCAST = 32_000_000
-
-
-def _observed(batches):
-    """(host, skeleton): a row for each different skeleton of a host in a batch."""
-    for batch in batches:
-        rows = {(parts(url)[0], dumped(folded(Page(source or "").tree[1]))) for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
-        columns = list(zip(*rows)) or [()] * 2
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=["host", "body"])
+#: Characters of wrappers that may be broadcast, and of those that a task keeps ready.
+MAX_BROADCAST, MAX_READY = 32_000_000, 4_000_000
+#: Wrappers of a host that are aligned in one go.
+FAN_IN = 64
 
 
 def dumped(nodes: list) -> str:
@@ -424,7 +431,7 @@ def dumped(nodes: list) -> str:
 
 def content_mark(page: Page) -> int:
     """Hash of the blocks of a page that are not noise; copies of a page share it."""
-    return hash_text("\n".join("/".join(path) + "\t" + text for path, text, noise, _ in page.blocks if not noise))
+    return hash_text("\n".join(label + "\t" + text for label, text, noise, _ in page.blocks if not noise))
 
 
 def hash_text(text: str) -> int:
@@ -433,78 +440,149 @@ def hash_text(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
+def host_of(url):
+    """Host of a URL column, as url_filter.parts gives it."""
+    return F.coalesce(F.when(F.instr(url, "://") > 0, F.translate(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), F.lit(""))
+
+
+def hosted(pages: DataFrame, url_col: str, html_col: str, *others) -> DataFrame:
+    """(host, html, others) of all pages."""
+    return spread(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"), *others))
+
+
+def _observed(batches):
+    """(host, body): a row for each different skeleton of a host in a batch."""
+    for batch in batches:
+        rows = {(host, dumped(folded(Page(source or "").tree[1]))) for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
+        columns = list(zip(*rows)) or [()] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=["host", "body"])
+
+
 def _merged(batches):
-    """Rows (host, wrapper) in the order of hosts, as one row per run of a host, aligned."""
-    host, wrapper = None, None
+    """Rows (host, part, wrapper) in this order, as one row per run of a host and part, aligned."""
+    key, wrapper = None, None
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int64()), pa.array([dumped(wrapper)], pa.string())], names=["host", "part", "body"])
+
     for batch in batches:
-        for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if wrapper is not None and name != host:
-                yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([dumped(wrapper)], pa.string())], names=["host", "body"])
+        for host, part, body in zip(*(c.to_pylist() for c in batch.columns)):
+            if key is not None and key != (host, part):
+                yield row()
                 wrapper = None
-            host, new = name, json.loads(body)
+            key, new = (host, part), json.loads(body)
             wrapper = new if wrapper is None else aligned(wrapper, new)
-    if wrapper is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([dumped(wrapper)], pa.string())], names=["host", "body"])
-
-
-def host_of(url):
-    """Host of a URL column, as url_filter.parts gives it."""
-    return F.coalesce(F.when(F.instr(url, "://") > 0, F.translate(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")), F.lit(""))
+    if key is not None:
+        yield row()
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, body): each host's wrapper as JSON, from all its pages.
 
     Equal skeletons are dropped before anything moves; a host's distinct ones are aligned in
-    parts of their own first, so no task gets a host's pages.
+    parts of their own first, and these by a tree, so no task gets a host's pages or all its
+    parts.
     """
-    parts_of_host = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seen = spread(pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))).mapInArrow(_observed, "host string, body string").distinct()
-    first = seen.select("host", "body", F.pmod(F.xxhash64("body"), F.lit(parts_of_host)).alias("part"))
-    apart = first.repartition("host", "part").sortWithinPartitions("host", "body").select("host", "body").mapInArrow(_merged, "host string, body string")
-    return apart.repartition("host").sortWithinPartitions("host", "body").mapInArrow(_merged, "host string, body string")
+    width = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seen = hosted(pages, url_col, html_col).mapInArrow(_observed, "host string, body string").distinct()
+    found = seen.select("host", F.pmod(F.xxhash64("body"), F.lit(width)).cast("long").alias("part"), "body")
+    while True:
+        found = found.repartition("host", "part").sortWithinPartitions("host", "part", "body").mapInArrow(_merged, "host string, part long, body string")
+        if width == 1:
+            return found.select("host", "body")
+        width = -(-width // FAN_IN)
+        found = found.select("host", F.pmod("part", F.lit(width)).cast("long").alias("part"), "body")
+
+
+class _Ready:
+    """What is made of hosts' rules, of the latest used."""
+
+    def __init__(self, make: Callable):
+        self._make, self._kept, self._size = make, OrderedDict(), 0
+
+    def __call__(self, body: str | None):
+        if body in self._kept:
+            self._kept.move_to_end(body)
+            return self._kept[body]
+        self._kept[body] = made = self._make(body)
+        self._size += len(body or "")
+        while self._size > MAX_READY and len(self._kept) > 1:
+            self._size -= len(self._kept.popitem(last=False)[0] or "")
+        return made
+
+
+def by_host(read: DataFrame, found: DataFrame, make: Callable, run: Callable, schema: str) -> DataFrame:
+    """run(columns, rules) of all rows of read (host, html, ...), in batches: lists of the
+    columns, and for each row what make makes of its host's body in found, or of None.
+
+    Up to MAX_BROADCAST characters found is broadcast and rows stay where they are. Beyond it
+    a host's rows are shuffled in parts, and its body comes once before each part's rows.
+    """
+    spark = read.sparkSession
+    size = found.agg(F.sum(F.length("body"))).first()[0] or 0
+    if size <= MAX_BROADCAST:
+        bodies = spark.sparkContext.broadcast({r["host"]: r["body"] for r in found.collect()})
 
+        def narrow(batches):
+            ready = _Ready(make)
+            for batch in batches:
+                columns = [c.to_pylist() for c in batch.columns]
+                yield run(columns, [ready(bodies.value.get(host)) for host in columns[0]])
 
-def _filled(batches):
-    """Rows (host, html, wrapper) as (host, slot, chars, low, high, first, last): a row for each
-    slot of a host in a batch, with its characters on pages without a landmark, the least and
-    greatest hash of a page's text there, and of the page's content, alike on its copies."""
-    for batch in batches:
-        ready: dict[str, Matcher] = {}
-        rows: dict[tuple, list] = {}
-        for host, source, body in zip(*(c.to_pylist() for c in batch.columns)):
-            page = Page(source or "")
-            if body not in ready:
-                ready[body] = Matcher(json.loads(body))
-            by_slot: dict[int, list[str]] = {}
-            for slot, (_, text, noise, _) in zip(ready[body].slots(page), page.blocks):
-                if not noise and slot is not None:
-                    by_slot.setdefault(slot, []).append(text)
-            marked, content = page.landmark(), content_mark(page)
-            for slot, texts in by_slot.items():
-                mark = hash_text("\n".join(texts))
-                row = rows.setdefault((host, slot), [0, mark, mark, content, content])
-                row[0] += 0 if marked else sum(map(len, texts))
-                row[1:] = min(row[1], mark), max(row[2], mark), min(row[3], content), max(row[4], content)
-        columns = list(zip(*(k + tuple(v) for k, v in rows.items()))) or [()] * 7
-        kinds = [pa.string()] + [pa.int64()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["host", "slot", "chars", "low", "high", "first", "last"])
-
-
-def joined(pages: DataFrame, found: DataFrame, url_col: str, html_col: str, *others) -> DataFrame:
-    """Pages with what is found of their hosts, which is broadcast if it is small."""
-    size = found.agg(F.sum(F.length("body"))).first()[0] or 0
-    found = F.broadcast(found) if size <= MAX_BROADCAST else found
-    read = spread(pages.select(*others, F.col(url_col).alias("url"), F.col(html_col).alias("html"))).withColumn("host", host_of(F.col("url")))
-    return read.join(found, "host", "left")
+        return read.mapInArrow(narrow, schema)
+
+    def streamed(batches):
+        rules, of = make(None), None
+        for batch in batches:
+            rows, ready = [], []
+            for *row, part, body in zip(*(c.to_pylist() for c in batch.columns)):
+                if body is not None:
+                    rules, of = make(body), (row[0], part)
+                else:
+                    rows.append(row)
+                    ready.append(rules if of == (row[0], part) else make(None))
+            if rows:
+                yield run([list(c) for c in zip(*rows)], ready)
+
+    parts_of_host = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = read.withColumn("_part", F.pmod(F.xxhash64("html"), F.lit(parts_of_host))).withColumn("_body", F.lit(None).cast("string"))
+    heads = rows.select("host", "_part").distinct().join(found.select("host", F.col("body").alias("_body")), "host")
+    both = rows.unionByName(heads, allowMissingColumns=True)
+    return both.repartition("host", "_part").sortWithinPartitions("host", "_part", F.col("_body").isNull()).mapInArrow(streamed, schema)
+
+
+def _filled(columns: list[list], matchers: list[Matcher]) -> pa.RecordBatch:
+    """Rows (host, slot, content, chars, low, high) of a batch of pages: for each slot of a host
+    the hashes of some pages' contents, alike on copies, LEAST_PAGES at most; and once, else
+    nothing, its characters on pages without a landmark and the least and greatest hash of a
+    page's text there."""
+    rows: dict[tuple, list] = {}
+    for host, source, matcher in zip(*columns, matchers):
+        page = Page(source or "")
+        by_slot: dict[int, list[str]] = {}
+        for slot, (_, text, noise, _) in zip(matcher.slots(page), page.blocks):
+            if not noise and slot is not None:
+                by_slot.setdefault(slot, []).append(text)
+        marked, content = page.landmark(), content_mark(page)
+        for slot, texts in by_slot.items():
+            mark = hash_text("\n".join(texts))
+            row = rows.setdefault((host, slot), [set(), 0, mark, mark])
+            if len(row[0]) < LEAST_PAGES:
+                row[0].add(content)
+            row[1:] = row[1] + (0 if marked else sum(map(len, texts))), min(row[2], mark), max(row[3], mark)
+    out = [(*key, content, *(rest if k == 0 else (0, None, None))) for key, (contents, *rest) in rows.items() for k, content in enumerate(contents)]
+    kinds = [pa.string()] + [pa.int64()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(list(zip(*out)) or [()] * 6, kinds)], names=["host", "slot", "content", "chars", "low", "high"])
 
 
 def filled(pages: DataFrame, found: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, body): the wrapper and its slots as JSON, each with its number, its characters
     on pages without a landmark, and whether it is constant."""
-    seen = joined(pages, found, url_col, html_col).select("host", "html", "body").mapInArrow(_filled, "host string, slot long, chars long, low long, high long, first long, last long")
-    counted = seen.groupBy("host", "slot").agg(F.sum("chars").alias("chars"), (F.min("low") == F.max("high")).alias("same"), (F.min("first") < F.max("last")).alias("several"))
-    slots = counted.groupBy("host").agg(F.to_json(F.collect_list(F.array("slot", "chars", (F.col("same") & F.col("several")).cast("long")))).alias("slots"))
+    seen = by_host(hosted(pages, url_col, html_col), found, lambda body: Matcher(json.loads(body) if body else []), _filled, "host string, slot long, content long, chars long, low long, high long")
+    figures = [F.sum("chars").alias("chars"), F.min("low").alias("low"), F.max("high").alias("high")]
+    counted = seen.groupBy("host", "slot", "content").agg(*figures).groupBy("host", "slot").agg(*figures, F.count(F.lit(1)).alias("n"))
+    constant = (F.col("low") == F.col("high")) & (F.col("n") >= LEAST_PAGES)
+    slots = counted.groupBy("host").agg(F.to_json(F.collect_list(F.array("slot", "chars", constant.cast("long")))).alias("slots"))
     return found.join(slots, "host", "left").select("host", F.concat(F.lit('{"wrapper":'), "body", F.lit(',"slots":'), F.coalesce("slots", F.lit("[]")), F.lit("}")).alias("body"))
 
 
@@ -535,17 +613,18 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """id, url, host, text and wrapper (as a regular expression) of every row.
 
     Null html is an empty page; rows with a null URL, or one without `://`, share the empty
-    host; rows repeat as they come; other columns are not read.
+    host; rows repeat as they come, and neither repeats nor copies make text a template; an
+    empty table gives no rows; other columns are not read.
     """
     found = durable(filled(pages, durable(wrappers(pages, url_col, html_col)), url_col, html_col))
-    read = joined(pages, found, url_col, html_col, F.col(id_col).alias("id"))
+    kind = pages.schema[id_col].dataType.simpleString()
 
-    def run(batches):
-        for batch in batches:
-            sources, bodies = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            rules = {b: Rules(b) for b in set(bodies)}
-            texts = [main_text(s, rules[b]) for s, b in zip(sources, bodies)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string()), pa.array([rules[b].wrapper for b in bodies], pa.string())], names=["id", "url", "host", "text", "wrapper"])
+    def run(columns, rules):
+        host, source, ids, url = columns
+        texts = [main_text(s, r) for s, r in zip(source, rules)]
+        columns = [pa.array(x, k) for x, k in ((ids, id_type), (url, pa.string()), (host, pa.string()), (texts, pa.string()), ([r.wrapper for r in rules], pa.string()))]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "url", "host", "text", "wrapper"])
 
-    kind = pages.schema[id_col].dataType.simpleString()
-    return read.select("id", "url", "host", "html", "body").mapInArrow(run, f"id {kind}, url string, host string, text string, wrapper string").withColumnRenamed("id", id_col)
+    read = hosted(pages, url_col, html_col, F.col(id_col).alias("id"), F.col(url_col).alias("url"))
+    id_type = to_arrow_type(pages.schema[id_col].dataType)
+    return by_host(read, found, Rules, run, f"id {kind}, url string, host string, text string, wrapper string").withColumnRenamed("id", id_col)
