@@ -1,6 +1,7 @@
 """The operators on DataFrames: odd rows, empty tables, clashing columns; and results."""
 
 import hashlib
+import json
 import re
 import zlib
 from collections import Counter
@@ -373,6 +374,85 @@ def test_html_copies_are_no_template(spark):
     assert found[7][0].text == "Other 1\nOther text 1"
 
 
+def generated_hosts(seed):
+    """Pages of hosts with templates of their own, and the main text of each: blocks that
+    differ by page, optional and repeated ones; with and without article; copies of pages."""
+    rng = np.random.default_rng(seed)
+    vocabulary = [f"word{i}" for i in range(500)]
+    prose = lambda n: " ".join(rng.choice(vocabulary, n))
+    pages = []
+    for host in range(8):
+        outer = ["article", "div class=post", "main", "section class=x"][host % 4]
+        house, slogan, legal = prose(12), prose(3), prose(8)
+        menu = "".join(f"<li>{prose(2)}</li>" for _ in range(4))
+        for k in range(int(rng.integers(6, 14))):
+            text = [f"Title {host} {k} {prose(4)}"]
+            body = f"<h1>{text[0]}</h1>"
+            if host % 2:
+                body = f"<p class=house>{house}</p>" + body  # a constant block where the text is
+            for _ in range(int(rng.integers(1, 5))):
+                text.append(prose(25))
+                body += f"<p>{text[-1]}</p>"
+            if rng.random() < 0.5:
+                items = [prose(5) for _ in range(int(rng.integers(1, 4)))]
+                text += items
+                body += "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
+            if rng.random() < 0.3:
+                text.append(prose(15))
+                body += f"<blockquote>{text[-1]}</blockquote>"
+            body += f"<h6>{slogan}</h6>"
+            page = f"<body><div class=top><ul>{menu}</ul><p>{legal}</p></div><{outer}>{body}</{outer.split()[0]}><div class=end><p>{legal}</p></div></body>"
+            pages += [(len(pages) + i, f"http://host{host}.com/{k}-{i}", page, "\n".join(text)) for i in range(3 if k == 2 else 1)]
+    return pages
+
+
+def slow_extract(pages):
+    """Wrappers, slots and texts in plain Python over all pages of a host at once."""
+    out = {}
+    for host in {url_filter.parts(url)[0] for _, url, *_ in pages}:
+        own = {i: html_extract.Page(page) for i, url, page, *_ in pages if url_filter.parts(url)[0] == host}
+        wrapper = None
+        for nodes in sorted({html_extract.dumped(html_extract.folded(p.tree[1])) for p in own.values()}):
+            wrapper = json.loads(nodes) if wrapper is None else html_extract.aligned(wrapper, json.loads(nodes))
+        matcher, texts, contents, chars = html_extract.Matcher(wrapper), {}, {}, Counter()
+        for page in own.values():
+            main = [(slot, text) for slot, (_, text, noise, _) in zip(matcher.slots(page), page.blocks) if not noise]
+            for slot in {x for x, _ in main}:
+                texts.setdefault(slot, set()).add(tuple(t for x, t in main if x == slot))
+                contents.setdefault(slot, set()).add(tuple(t for _, t in main))
+                chars[slot] += 0 if page.landmark() else sum(len(t) for x, t in main if x == slot)
+        slots = [[slot, chars[slot], int(len(texts[slot]) == 1 and len(contents[slot]) >= html_extract.LEAST_PAGES)] for slot in texts]
+        rules = html_extract.Rules(json.dumps({"wrapper": wrapper, "slots": slots}))
+        out |= {i: html_extract.main_text(page, rules) for i, url, page, *_ in pages if url_filter.parts(url)[0] == host}
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [32_000_000, 0])
+def test_html_equals_plain_python_and_the_generators_texts(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(html_extract, "MAX_BROADCAST", broadcast)
+    pages = generated_hosts(4)
+    df = spark.createDataFrame([x[:3] for x in pages], "page_id long, url string, html string").repartition(5)
+    found = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert found == slow_extract(pages) == {i: text for i, _, _, text in pages}
+
+
+def test_html_without_its_wrapper_says_more(spark, monkeypatch):
+    pages = generated_hosts(5)
+    df = spark.createDataFrame([x[:3] for x in pages], "page_id long, url string, html string")
+    emptied = html_extract.wrappers(df).withColumn("body", F.lit("[]"))
+    monkeypatch.setattr(html_extract, "wrappers", lambda *_: emptied)
+    found = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert all(len(found[i]) > len(text) for i, _, _, text in pages)
+
+
+def test_html_two_pages_are_no_template(spark):
+    """Two near copies share their title, a third page of its own doesn't make it constant."""
+    page = "<body><article><h1>The same title</h1><p>Text {i}</p></article></body>"
+    rows = [(i, f"http://a.com/{i}", page.format(i=i % 2)) for i in range(6)]
+    found = by_id(html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert found[1][0].text == "The same title\nText 1"
+
+
 def test_html_wrapper_decides_the_text(spark):
     """A constant slot inside <article> goes, whose label path a changing slot shares."""
     form = "<body><article><div><p>Words of the house on every page</p></div><h1>Head {i}</h1><div><p>Text {i}</p>{more}</div></article></body>"
