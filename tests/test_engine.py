@@ -25,27 +25,28 @@ def rows(df):
 
 
 @pytest.fixture
-def pair(spark, engine):
-    engine.table("a", json_lines.parse(lines(spark, '{"id": 1, "x": "p"}', '{"id": 2, "x": "q"}', '{"id": 3, "x": "r"}')))
-    return engine.table("b", json_lines.parse(lines(spark, '{"id": 1, "y": 10}', '{"id": 3, "y": 30}')))
+def orchard(spark, engine):
+    trees = ["apple", "quince", "medlar", "cherry"]
+    engine.table("trees", json_lines.parse(lines(spark, *(json.dumps({"no": 10 * k, "kind": kind}) for k, kind in enumerate(trees)))))
+    return engine.table("picked", json_lines.parse(lines(spark, '{"tree": 10, "kilos": 4.5}', '{"tree": 30, "kilos": 12}', '{"tree": 30, "kilos": 1.5}')))
 
 
 def test_all_functions_are_there():
     assert len(builtin().functions) == 141
 
 
-def test_joins(pair):
-    assert rows(pair.sql("select a.x as x, b.y as y from a join b on a.id = b.id")) == [("p", 10), ("r", 30)]
-    assert rows(pair.sql("select x, y from a left join b on a.id = b.id")) == [("p", 10), ("q", None), ("r", 30)]
-    assert rows(pair.sql("select x, y from b right join a on a.id = b.id")) == [("p", 10), ("q", None), ("r", 30)]
-    assert rows(pair.sql("select count(*) as n from a, b")) == [(6,)]
-    assert rows(pair.sql("select a.id as i, b.id as j from a join b on a.id < b.id")) == [(1, 3), (2, 3)]
+def test_joins(orchard):
+    assert rows(orchard.sql("select t.kind as k, p.kilos as w from trees t join picked p on t.no = p.tree")) == [("cherry", 1.5), ("cherry", 12.0), ("quince", 4.5)]
+    assert rows(orchard.sql("select kind, kilos from trees left join picked on trees.no = picked.tree and kilos > 2")) == [("apple", None), ("cherry", 12.0), ("medlar", None), ("quince", 4.5)]
+    assert rows(orchard.sql("select kind, count(kilos) as n from picked right join trees on trees.no = picked.tree group by kind")) == [("apple", 0), ("cherry", 2), ("medlar", 0), ("quince", 1)]
+    assert rows(orchard.sql("select count(*) as n from trees, picked")) == [(12,)]
+    assert rows(orchard.sql("select t.no as i, p.kilos as w from trees t join picked p on t.no > p.tree")) == [(20, 4.5), (30, 4.5)]
 
 
-def test_missing_keys_never_match(spark, engine):
-    engine.table("a", json_lines.parse(lines(spark, '{"x": 1}', '{"id": null, "x": 2}', '{"id": 5, "x": 3}')))
-    engine.table("b", json_lines.parse(lines(spark, '{"y": 1}', '{"id": null, "y": 2}', '{"id": 5, "y": 3}')))
-    assert rows(engine.sql("select x, y from a join b on a.id = b.id")) == [(3, 3)]
+def test_absent_keys_never_match(spark, engine):
+    engine.table("l", json_lines.parse(lines(spark, '{"v": "absent"}', '{"key": null, "v": "null"}', '{"key": "k", "v": "there"}')))
+    engine.table("r", json_lines.parse(lines(spark, '{"key": null, "w": 8}', '{"w": 9}', '{"key": "k", "w": 7}')))
+    assert rows(engine.sql("select v, w from l join r on l.key = r.key")) == [("there", 7)]
 
 
 def test_null_and_missing(spark, engine):
@@ -67,8 +68,8 @@ def test_literals_of_different_types(spark, engine):
     assert rows(engine.sql("select b = true as x, 1 as y, 1.0 as z, true as w from t where i = 1")) == [(True, 1, 1.0, True)]
 
 
-def test_padding_is_null_not_missing(pair):
-    assert rows(pair.sql("select x, y is null as n, y is missing as m from a left join b on a.id = b.id where a.id = 2")) == [("q", True, False)]
+def test_padding_is_null_not_missing(orchard):
+    assert rows(orchard.sql("select kind, kilos is null as n, kilos is missing as m from trees left join picked on trees.no = picked.tree where no = 20")) == [("medlar", True, False)]
 
 
 def test_wildcards_and_unnest(spark, engine):
@@ -184,28 +185,40 @@ def test_custom_functions(spark, engine):
         engine.function("UPPER", lambda c: c, 1)
 
 
-ELB = '2019-06-07T18:45:33.559871Z lb1 1.2.3.4:5678 - 0.1 0.25 bad 200 200 12 34 "GET http://a.com/x?y=1 HTTP/1.1" "agent one" - -'
-
-
 def test_elb_lines(spark):
-    found = logs.parse(lines(spark, ELB, "", "junk"), "elb").collect()
+    line = '2033-01-09T22:10:31.000420Z front 198.51.100.4:40400 - 0.5 0.75 slow 302 200 81 92 "HEAD https://lake.test/boats?row=2 HTTP/1.0" "oar 3" - -'
+    found = logs.parse(lines(spark, line, "", "junk"), "elb").collect()
     assert len(found) == 2
     r = found[0]
-    assert r.timestamp == datetime.datetime(2019, 6, 7, 18, 45, 33, 559871)
-    assert r.client_and_port.asDict() == {"hostname": "1.2.3.4", "port": 5678} and r.backend_and_port is None
-    assert (r.response_processing_time, r.sent_bytes, r.user_agent, r.ssl_cipher, r.trace_id) == (None, 34, "agent one", "-", None)
-    assert r.request.url == "http://a.com/x?y=1" and r.request.http_method == "GET"
-    with pytest.raises(Exception):
-        logs.parse(lines(spark, ELB), "elb", mode="FAILFAST").collect()
+    assert r.timestamp == datetime.datetime(2033, 1, 9, 22, 10, 31, 420)
+    assert r.client_and_port.asDict() == {"hostname": "198.51.100.4", "port": 40400} and r.backend_and_port is None
+    assert (r.backend_processing_time, r.response_processing_time, r.sent_bytes, r.user_agent, r.ssl_cipher, r.trace_id) == (0.75, None, 92, "oar 3", "-", None)
+    assert r.request.asDict() == {"http_method": "HEAD", "url": "https://lake.test/boats?row=2", "http_version": "HTTP/1.0", "raw": "HEAD https://lake.test/boats?row=2 HTTP/1.0"}
+    with pytest.raises(Exception, match="response_processing_time"):
+        logs.parse(lines(spark, line), "elb", mode="FAILFAST").collect()
     assert [len(logs.fields(f)) for f in ("elb", "alb", "s3", "squid")] == [17, 25, 24, 10]
 
 
+def test_tokens_of_lines(spark):
+    """Marks go, one at either end; open marks reach to the line's end; hosts and requests that
+    are none are null; what lies beyond the last field is left out."""
+    found = logs.parse(lines(spark, """ 'a b'  "c d" [e f] "" x"y 1.5 '2' [3] q "r s""", "a\tb", "1 2 3 4 5 6 7 8 9 10 11 12", '"open', "[]"), "squid").collect()
+    assert tuple(found[0]) == ("a b", "c d", "e f", "", 'x"y', "1.5", "2", "3", "q", "r s")
+    assert tuple(found[1])[:3] == ("a", "b", None) and found[2].type == "10" and found[3].timestamp == "open" and found[4].timestamp == ""
+    odd = ["1.2.3.4:", ":80", "h:70000", "h:-1", "h", "a:b:9", "h:12x", "-"]
+    hosts = [r.c for r in logs.parse(lines(spark, *(f"2033-01-09T22:10:31Z f {x} - 1 1 1 200 200 1 1 - -" for x in odd)), "elb").selectExpr("client_and_port as c").collect()]
+    assert [h and tuple(h) for h in hosts] == [None, ("", 80), None, None, None, ("a:b", 9), None, None]
+    odd = ["GET /a HTTP/1.1", "GET  /a HTTP/1.1", "get /a HTTP/1.1", "GET /a", "GET /a HTTP/3", "POST /a b HTTP/1.1", "PATCH x HTTP/2.0", "-"]
+    urls = [r.request and r.request.url for r in logs.parse(lines(spark, *(f'2033-01-09T22:10:31Z f - - 1 1 1 200 200 1 1 "{x}" -' for x in odd)), "elb").collect()]
+    assert urls == ["/a", None, None, None, None, None, "x", None]
+
+
 def test_s3_and_squid_lines(spark):
-    s3 = 'own buck [06/Feb/2019:00:00:38 +0000] 1.2.3.4 req id REST.GET - "GET /b?v HTTP/1.1" 200 - 113 - 7 - "-" "S3Console/0.4" - host= SigV2 C A h T'
+    s3 = 'keeper shelf [09/Jan/2033:22:10:31 +0000] 198.51.100.4 someone 77AA REST.PUT.OBJECT box/1 "PUT /shelf/box HTTP/1.1" 204 - 5 6 7 8 "-" "hand/2" - abc= SigV4 ECDHE Q shelf.test TLSv1.3'
     r = logs.parse(lines(spark, s3), "s3").first()
-    assert (r.time, r.request_uri, r.tls_version) == ("06/Feb/2019:00:00:38 +0000", "GET /b?v HTTP/1.1", "T")
-    r = logs.parse(lines(spark, "1515734740.494      1 host TCP_DENIED/407 3922 CONNECT d.com:443 - HIER_NONE/- text/html"), "squid").first()
-    assert (r.elapsed, r.url, r.type) == ("1", "d.com:443", "text/html")
+    assert (r.time, r.request_uri, r.key, r.tls_version) == ("09/Jan/2033:22:10:31 +0000", "PUT /shelf/box HTTP/1.1", "box/1", "TLSv1.3")
+    r = logs.parse(lines(spark, "1988888888.001    250 198.51.100.7 TCP_REFRESH/304 77 POST lake.test:8080 - DIRECT/192.0.2.9 -"), "squid").first()
+    assert (r.elapsed, r.url, r.type) == ("250", "lake.test:8080", "-")
 
 
 def test_sources_and_cli(spark, tmp_path, capsys):
