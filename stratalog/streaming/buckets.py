@@ -5,12 +5,12 @@ Rows later than the watermark are dropped, where a sorted in-memory aggregate wo
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..session import shared_folder
 from ..sources import logs
 
 
@@ -36,13 +36,16 @@ def start(buckets: DataFrame, path: str, checkpoint: str, once: bool = True) ->
 
 
 def replayed(rows: DataFrame, time_col: str, width: str, key: str, value: str) -> DataFrame:
-    """rows, streamed from a table of their own, as finished buckets. A last row far beyond
-    the others closes every bucket; its own is left out."""
+    """rows, streamed from a table of their own, as finished buckets; a null key is a key like
+    others. A last row far beyond the others closes every bucket; its own, told by its time, is
+    left out. Rows without a time are in no bucket."""
     spark = rows.sparkSession
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='stratalog-')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     kept = rows.select(F.col(time_col).cast("timestamp").alias(time_col), key, value)
     kept.write.parquet(f"{folder}/in")
-    end = kept.agg(F.max(time_col)).select((F.col(f"max({time_col})") + F.expr("interval 400 days")).alias(time_col), F.lit(None).cast(kept.schema[key].dataType).alias(key), F.lit(None).cast(kept.schema[value].dataType).alias(value))
+    last = spark.read.parquet(f"{folder}/in").agg(F.max(time_col).alias("last"))
+    far = last.where("last is not null").select((F.col("last") + F.expr("interval 400 days")).alias(time_col))
+    end = far.select(time_col, *(F.lit(None).cast(kept.schema[c].dataType).alias(c) for c in (key, value)))
     schema = kept.schema
     for source in (None, end):
         if source is not None:
@@ -50,4 +53,6 @@ def replayed(rows: DataFrame, time_col: str, width: str, key: str, value: str) -
         stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
         query = start(bucketed(stream, time_col, width, key, value, late="366 days"), f"{folder}/out", f"{folder}/state")
         query.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").where(F.col(key).isNotNull())
+    moment = last.first()["last"]
+    out = spark.read.schema(bucketed(kept, time_col, width, key, value).schema).parquet(f"{folder}/out")
+    return out if moment is None else out.where(F.col("bucket") <= F.lit(moment))

@@ -15,3 +15,12 @@ def test_log_stream(spark, tmp_path):
     assert found[datetime.datetime(2033, 1, 9, 18, 0), "200"] == (2, 4)
     assert found[datetime.datetime(2033, 1, 9, 18, 15), "500"] == (2, 34)
     assert len(found) == 8
+
+
+def test_replayed_keeps_null_keys(spark):
+    at = lambda h: datetime.datetime(2033, 1, 9, h, 30)
+    rows = [(at(1), None, 2.0), (at(1), "a", 3.0), (at(1), None, 5.0), (at(2), None, None), (None, "a", 1.0)]
+    df = spark.createDataFrame(rows, "ts timestamp, k string, v double")
+    found = {(r.bucket.hour, r.k): (r.n, r.total) for r in buckets.replayed(df, "ts", "1 hour", "k", "v").collect()}
+    assert found == {(1, None): (2, 7.0), (1, "a"): (1, 3.0), (2, None): (1, None)}
+    assert buckets.replayed(df.limit(0), "ts", "1 hour", "k", "v").count() == 0
