@@ -10,7 +10,8 @@ from pyspark.sql import Column, functions as F, types as T
 from ..errors import AnalysisError
 
 NAMES = frozenset("count sum avg min max first last approx_count_distinct percentile_disc approx_percentile".split())
-#: Column that numbers the rows as they were read, where `first` or `last` asks for it.
+#: Column with the place where a row was read, by which rows are ordered where `first` or `last`
+#: asks for it.
 SEQUENCE = "_sequence"
 ORDERED = ("percentile_disc", "approx_percentile")
 #: Greatest relative error of approx_count_distinct, and accuracy of approx_percentile.

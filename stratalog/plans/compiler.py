@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import fields, is_dataclass
 from itertools import count
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..errors import AnalysisError
@@ -30,6 +31,18 @@ def aggregate_calls(e: object, functions: Registry) -> list[t.Call]:
     return []
 
 
+def place_read(df: DataFrame) -> Column:
+    """Where a row of a table was read: by file, block and order there; for tables that are no
+    files by partition and order."""
+    order = F.monotonically_increasing_id().alias("row")
+    in_file = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), order)
+    try:
+        df.select(in_file)
+        return in_file
+    except AnalysisException:
+        return F.struct(F.lit("").alias("file"), F.lit(0).cast("bigint").alias("block"), order)
+
+
 class Compiler:
     def __init__(self, tables: Tables, functions: Registry, strict: bool = True):
         self._tables, self._functions, self._strict = tables, functions, strict
@@ -51,19 +64,22 @@ class Compiler:
 
     # -- FROM -----------------------------------------------------------------------------------
 
-    def _relation(self, df: DataFrame, alias: str | None) -> tuple[DataFrame, Relation]:
-        """df under names that no other table of the query has."""
+    def _relation(self, df: DataFrame, alias: str | None, numbered: bool) -> tuple[DataFrame, Relation]:
+        """df under names that no other table of the query has; numbered: with the place where
+        each row was read."""
         k = next(self._numbers)
         alike = len({c.lower() for c in df.columns}) < len(df.columns)  # Spark doesn't tell case apart
         names = {c: f"{alias or 't'}_{k}_{c}" + (f"_{i}" if alike else "") for i, c in enumerate(df.columns)}
         types = {f.name: f.dataType for f in df.schema.fields}
         renamed = df.toDF(*names.values())
+        if numbered:
+            renamed = renamed.select("*", place_read(renamed).alias(f"{aggregates.SEQUENCE}_{k}"))
         variant = names.pop(json_lines.VARIANT, None)
         return renamed, Relation(alias, names, types, variant)
 
-    def _table(self, table: t.Table, outer: Scope | None) -> tuple[DataFrame, Relation]:
+    def _table(self, table: t.Table, outer: Scope | None, numbered: bool) -> tuple[DataFrame, Relation]:
         first, *rest = table.path.steps
-        df, relation = self._relation(self._tables[first.name], first.name if rest or not table.alias else table.alias)
+        df, relation = self._relation(self._tables[first.name], first.name if rest or not table.alias else table.alias, numbered)
         if not rest:
             if table.position:
                 raise AnalysisError("AT needs a path in FROM")
@@ -76,24 +92,26 @@ class Compiler:
         names = {table.alias: f"{table.alias}_{k}_item"}
         if found.col is None:
             found = type(found)(F.lit(None).cast("string"), T.StringType())
+        place = [F.col(c) for c in df.columns if c.startswith(f"{aggregates.SEQUENCE}_")]
         if isinstance(found.type, T.ArrayType):
-            out = df.select(F.posexplode(found.col).alias(f"_{k}_at", names[table.alias]))
+            out = df.select(*place, F.posexplode(found.col).alias(f"_{k}_at", names[table.alias]))
             kind = found.type.elementType
         else:  # a scalar is one row without a position
-            out = df.select(F.lit(None).cast("int").alias(f"_{k}_at"), found.col.alias(names[table.alias]))
+            out = df.select(*place, F.lit(None).cast("int").alias(f"_{k}_at"), found.col.alias(names[table.alias]))
             kind = found.type
         types = {table.alias: kind}
         if table.position:
             names[table.position], types[table.position] = f"{table.alias}_{k}_at", T.LongType()
-        out = out.select(F.col(names[table.alias]), F.col(f"_{k}_at").cast("bigint").alias(f"{table.alias}_{k}_at"))
+        place = [F.struct(c, f"_{k}_at").alias(c) for c in out.columns if c.startswith(f"{aggregates.SEQUENCE}_")]
+        out = out.select(F.col(names[table.alias]), F.col(f"_{k}_at").cast("bigint").alias(f"{table.alias}_{k}_at"), *place)
         return out, Relation(None, names, types)
 
-    def _source(self, source: t.Table | t.Join, outer: Scope | None) -> tuple[DataFrame, list[Relation]]:
+    def _source(self, source: t.Table | t.Join, outer: Scope | None, numbered: bool) -> tuple[DataFrame, list[Relation]]:
         if isinstance(source, t.Table):
-            df, relation = self._table(source, outer)
+            df, relation = self._table(source, outer, numbered)
             return df, [relation]
-        left, relations = self._source(source.left, outer)
-        right, relation = self._table(source.right, outer)
+        left, relations = self._source(source.left, outer, numbered)
+        right, relation = self._table(source.right, outer, numbered)
         relations = [*relations, relation]
         if source.kind == "cross":
             return left.crossJoin(right), relations
@@ -103,12 +121,14 @@ class Compiler:
     # -- SELECT ---------------------------------------------------------------------------------
 
     def _select(self, q: t.Select, outer: Scope | None) -> DataFrame:
-        df, relations = self._source(q.source, outer)
-        scope = Scope(df, relations, outer=outer, strict=self._strict)
         items = self._items(q)
         calls = list(dict.fromkeys(aggregate_calls((tuple(i.expr for i in items), q.having, q.order), self._functions)))
-        if any(c.name.lower() in ("first", "last") for c in calls):
-            df = df.select("*", F.monotonically_increasing_id().alias(aggregates.SEQUENCE))
+        numbered = any(c.name.lower() in ("first", "last") for c in calls)
+        df, relations = self._source(q.source, outer, numbered)
+        scope = Scope(df, relations, outer=outer, strict=self._strict)
+        if numbered:  # rows of a join come in the order of its left side, then of its right
+            places = [c for c in df.columns if c.startswith(f"{aggregates.SEQUENCE}_")]
+            df = df.select("*", F.struct(*places).alias(aggregates.SEQUENCE)).drop(*places)
             scope.typing = df
         if q.where is not None:
             df = df.where(self._exprs.truth(q.where, scope))

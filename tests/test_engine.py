@@ -123,6 +123,23 @@ def test_percentiles_and_sequence(spark, engine):
     assert tuple(found) == (6, 1, 10, 1, 1, 10)
 
 
+def test_first_and_last_follow_files_and_joins(spark, engine, tmp_path):
+    """Files in order of their names, rows in theirs, through shuffles and joins."""
+    for k in range(4):
+        spark.range(k * 25_000, (k + 1) * 25_000).selectExpr("id", "id % 3 as g").coalesce(1).write.parquet(f"{tmp_path}/all/part={k}")
+        (tmp_path / f"{k}.jsonl").write_text("\n".join(json.dumps({"n": 10 * k + i, "h": [k, i]}) for i in range(9 - 2 * k)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        engine.table("names", spark.createDataFrame([(g, x) for g in range(3) for x in "ba"], "g long, x string").coalesce(1))
+        engine.source(f"rows:parquet={tmp_path}/all").source(f"it:jsonl={tmp_path}/*.jsonl")
+        assert rows(engine.sql("select g, first(id) as f, last(id) as l from rows group by g")) == [(0, 0, 99_999), (1, 1, 99_997), (2, 2, 99_998)]
+        assert rows(engine.sql("select r.g as g, first(id) as f, last(id) as l, first(n.x) as a, last(n.x) as z from rows r join names n on r.g = n.g group by r.g")) == [(0, 0, 99_999, "b", "a"), (1, 1, 99_997, "b", "a"), (2, 2, 99_998, "b", "a")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows(engine.sql("select first(n) as f, last(n) as l, count(*) as c from it where n > 0")) == [(1, 32, 23)]
+    assert rows(engine.sql("select first(x) as f, last(x) as l from it.h as x")) == [(0, 2)]
+
+
 def test_grouping(spark, engine):
     engine.table("t", spark.createDataFrame([("a", 1), ("a", None), ("b", 5), (None, 7)], "g string, v int"))
     assert rows(engine.sql("select g, count(*) as n, count(v) as c, sum(v) as s from t group by g")) == [("a", 2, 1, 1.0), ("b", 1, 1, 5.0), (None, 1, 1, 7.0)]
