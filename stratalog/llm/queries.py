@@ -215,16 +215,17 @@ def op4_sql() -> str:
     classes, weights, bias, like, least = license_scan.trained()
     n = len(license_scan.TEMPLATES)
     rows = ", ".join(f"('{g}', {w})" for g, w in sorted(weights.items()))
-    cue, wrapped = license_scan.cue_pattern(), license_scan.WRAPPED
+    cued, wrapped = lambda what: " OR ".join(f"contains({what}, '{x}')" for x in license_scan.CUES), license_scan.WRAPPED
     sums = ", ".join(f"{b} + CAST(coalesce(sum(w[{k + 1}]), 0) AS BIGINT) AS s{k}" for k, b in enumerate(bias))
     families = ", ".join(f"struct_pack(score := s{k}, family := '{c}')" for k, c in enumerate(classes[:n]))
     templates = ", ".join(f"('{f}', {k}, '{x}', {license_scan.WEIGHT[x]}, {license_scan.weight(license_scan.pairs(t))})" for f, ts in license_scan.TEMPLATES.items() for k, t in enumerate(ts) for x in sorted(license_scan.pairs(t)))
     return f"""
 WITH weight AS (SELECT * FROM (VALUES {rows}) AS v(gram, w)),
 template AS (SELECT * FROM (VALUES {templates}) AS v(family, k, pair, weight, total)),
-whole AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '{wrapped}', '\\1 \\2', 'g'), '{wrapped}', '\\1 \\2', 'g'), chr(10)) AS p FROM documents),
+whole AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '{wrapped}', '\\1 \\2', 'g'), '{wrapped}', '\\1 \\2', 'g'), chr(10)) AS p FROM documents
+          WHERE {cued("translate(lower(text), chr(10) || chr(13) || chr(9), '   ')")}),
 line AS (SELECT doc_id, unnest(p) AS x, unnest(range(len(p))) AS i FROM whole),
-para AS (SELECT doc_id, i, list_filter(regexp_split_to_array(lower(x), '[^a-z0-9]+'), lambda v: v <> '') AS words FROM line WHERE regexp_matches(x, '{cue}')),
+para AS (SELECT doc_id, i, list_filter(regexp_split_to_array(lower(x), '[^a-z0-9]+'), lambda v: v <> '') AS words FROM line WHERE {cued("lower(x)")}),
 sized AS (SELECT doc_id, i, words, unnest([1, 2, 3]) AS n FROM para),
 gram AS (
     SELECT DISTINCT doc_id, i, array_to_string(words[k:k + n - 1], ' ') AS gram
