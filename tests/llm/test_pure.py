@@ -1,6 +1,7 @@
 """The operators' plain functions against brute force and hand-made cases."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -328,6 +329,10 @@ def test_every_example_is_learned():
     assert not wrong and classes[-2:] == ["unknown", "none"]
 
 
+def test_every_notice_holds_a_cue():
+    assert all(any(x in t for x in license_scan.CUES) for name, t in license_scan.examples() if name != "none")
+
+
 def test_classes_of_unseen_notices():
     """Notices and sentences left out of a fit in every frame: few sentences read as a licence,
     hardly another licence as a family, and most notices as a licence."""
@@ -398,6 +403,16 @@ def test_deep_and_wide_pages():
     assert "((<h2> # </>) (<p> # </>) (<ul> (<li> # </>) </>))+" in H.expression(H.folded(H.Page(wide).tree[1]))
 
 
+def test_levels_are_told_apart():
+    """Slots a hundred levels down stay apart; the wrapper of deep pages goes through JSON."""
+    page = "<div>" * 100 + "<h1>{i}</h1><p>same</p>" + "</div>" * 100
+    pages = [H.Page(page.format(i=i)) for i in range(3)]
+    wrapper = H.folded(pages[0].tree[1])
+    assert len(set(H.Matcher(json.loads(H.dumped(wrapper))).slots(pages[1]))) == 2
+    deep = H.folded(H.Page("<div><p>a</p>" * 2000 + "</div>" * 2000).tree[1])
+    assert H.aligned(json.loads(H.dumped(deep)), wrapper) and H.Rules(json.dumps({"wrapper": deep, "slots": [[5, 1, 0]]})).under >= -1
+
+
 def test_alignment_is_union_free():
     a = H.folded(H.Page('<body><div class="x"><p>a</p><p>b</p></div><div class="y">z</div></body>').tree[1])
     b = H.folded(H.Page('<body><div class="x"><p>a</p><ul><li>q</ul></div></body>').tree[1])
