@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .engine import Engine
+from .proofs import PROOFS, over_files
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -83,8 +84,8 @@ PLAIN: dict[str, tuple[str, str | None]] = {
     "percentile_disc_floor": ("select event_type, percentile_disc(0.5) within group (order by value asc) as p50, percentile_disc(0.25) within group (order by value desc) as q from events group by event_type", "select event_type, list_sort(list(value))[cast(floor(count(value) * 0.5) as int) + 1] as p50, list_reverse_sort(list(value))[cast(floor(count(value) * 0.25) as int) + 1] as q from events group by 1"),
     "percentile_disc_text": ("select percentile_disc(0.5) within group (order by p_name asc) as p, percentile_disc(1.0) within group (order by p_size asc) as q from part", "select list_sort(list(p_name))[cast(floor(count(*) * 0.5) as int) + 1] as p, max(p_size) as q from part"),
     "percentile_disc_time": ("select event_type, percentile_disc(0.75) within group (order by ts asc) as p from events group by event_type", "select event_type, list_sort(list(ts))[cast(floor(count(*) * 0.75) as int) + 1] as p from events group by 1"),
-    "approx_percentile": ("select event_type, approx_percentile(0.5) within group (order by value asc) as p from events group by event_type", ""),
-    "approx_count_distinct": ("select approx_count_distinct(user_id) as users from events", ""),
+    "approx_percentile": ("select event_type, max(value) as m, approx_percentile(0.5) within group (order by value asc) between percentile_disc(0.49) within group (order by value asc) and percentile_disc(0.51) within group (order by value asc) as near from events group by event_type", "select event_type, max(value) as m, true as near from events group by event_type"),
+    "approx_count_distinct": ("select event_type, count(distinct user_id) as n, abs(approx_count_distinct(user_id) - count(distinct user_id)) <= count(distinct user_id) * 0.15 as near from events group by event_type", "select event_type, count(distinct user_id) as n, true as near from events group by event_type"),
     # joins
     "cross_join": ("select r_name, s_suppkey from region cross join supplier", "select r_name, s_suppkey from region, supplier"),
     "cross_comma": ("select n_name, r_name from nation, region", None),
@@ -153,19 +154,17 @@ FUNCTIONS: dict[str, tuple[str, str, str, str | None]] = {
     "power": ("part", "p_partkey", "power(p_size, 2)", "cast(p_size as double) * p_size"),
     "pow": ("part", "p_partkey", "pow(p_size, 3)", "cast(p_size as double) * p_size * p_size"),
     "mod": ("part", "p_partkey", "mod(p_partkey, 7)", "p_partkey % 7"),
-    "modulus": ("part", "p_partkey", "modulus(p_partkey, p_size - p_size)", "cast(null as bigint)"),
+    "modulus": ("part", "p_partkey", "modulus(p_partkey, mod(p_size, 5))", "case when p_size % 5 <> 0 then p_partkey % (p_size % 5) end"),
     "atan2": ("part", "p_partkey", "round(atan2(p_size, p_retailprice), 6)", None),
     "pi": ("region", "r_regionkey", "round(pi() * r_regionkey, 6)", None),
     "e": ("region", "r_regionkey", "round(e() * r_regionkey, 6)", "round(exp(1) * r_regionkey, 6)"),
-    "infinity": ("region", "r_regionkey", "is_infinite(infinity())", "true"),
-    "nan": ("region", "r_regionkey", "is_nan(nan())", "true"),
+    "infinity": ("customer", "c_custkey", "is_infinite(infinity() * c_acctbal) and infinity() * c_acctbal > c_acctbal", "c_acctbal > 0"),
+    "nan": ("customer", "c_custkey", "is_nan(case when c_acctbal > 0 then c_acctbal + nan() else c_acctbal end)", "c_acctbal > 0"),
     "is_nan": ("customer", "c_custkey", "is_nan(c_acctbal)", "isnan(c_acctbal)"),
     "is_finite": ("customer", "c_custkey", "is_finite(c_acctbal)", "isfinite(c_acctbal)"),
     "is_infinite": ("customer", "c_custkey", "is_infinite(c_acctbal / 0.0)", "c_acctbal <> 0"),
     **{n: ("part", "p_partkey", f"round({n}(p_size / 10.0), 6)", None) for n in ("radians", "degrees", "sin", "cos", "tan", "atan", "cosh", "tanh")},
     **{n: ("part", "p_partkey", f"round({n}(p_size / 100.0), 6)", None) for n in ("asin", "acos")},
-    "rand": ("region", "r_regionkey", "rand() >= 0.0 and rand() < 1.0", "true"),
-    "random": ("region", "r_regionkey", "random() < 1.0", "true"),
     "array_sort": ("part", "p_partkey", "array_join(array_sort(split(p_name, ' ')), ' ')", "array_to_string(list_sort(string_split(p_name, ' ')), ' ')"),
     "array_distinct": ("part", "p_partkey", "cardinality(array_distinct(split(p_type, 'A')))", "cast(len(list_distinct(string_split(p_type, 'A'))) as bigint)"),
     "array_contains": ("part", "p_partkey", "array_contains(split(p_name, ' '), 'part')", "list_contains(string_split(p_name, ' '), 'part')"),
@@ -179,7 +178,7 @@ FUNCTIONS: dict[str, tuple[str, str, str, str | None]] = {
     "array_union": ("part", "p_partkey", "cardinality(array_union([p_size], [3, 4]))", "cast(case when p_size in (3, 4) then 2 else 3 end as bigint)"),
     "array_except": ("part", "p_partkey", "cardinality(array_except([p_size, 3], [3]))", "cast(case when p_size = 3 then 0 else 1 end as bigint)"),
     "array_remove": ("part", "p_partkey", "cardinality(array_remove([p_size, 3, 3], 3))", "cast(case when p_size = 3 then 0 else 1 end as bigint)"),
-    "slice": ("embeddings", "vec_id", "cardinality(slice(embedding, 63, 5)) + cardinality(slice(embedding, 0, 2))", "cast(2 as bigint)"),
+    "slice": ("part", "p_partkey", "array_join(slice([p_brand, p_type, p_name, 'x'], 2, 2), '|') || array_join(slice([p_brand, p_type, p_name], 3, 9), '|') || array_join(slice([p_brand, p_type], -2, 1), '|') || cast(cardinality(slice([p_brand], 0, 2)) as varchar)", "p_type || '|' || p_name || p_name || '0'"),
     "shuffle": ("part", "p_partkey", "array_join(shuffle(split(p_name, ' ')), ' ')", "array_to_string(list_reverse(string_split(p_name, ' ')), ' ')"),
     "bitwise_and": ("part", "p_partkey", "bitwise_and(p_partkey, 12)", "p_partkey & 12"),
     "bitwise_or": ("part", "p_partkey", "bitwise_or(p_partkey, 12)", "p_partkey | 12"),
@@ -231,9 +230,9 @@ FUNCTIONS: dict[str, tuple[str, str, str, str | None]] = {
     "date_add": ("events", "event_id", 'date_add("hour", 30, ts)', "ts + interval '30 hours'"),
     "date_diff": ("events", "event_id", 'date_diff("minute", ts, from_unixtime(1800000000))', "cast((1800000000000000 - epoch_us(ts)) // 60000000 as bigint)"),
     "date_trunc": ("events", "event_id", 'date_trunc("day", ts)', "cast(date_trunc('day', ts) as timestamp)"),
-    "from_unixtime": ("part", "p_partkey", "to_unixtime(from_unixtime(p_partkey * 1000))", "p_partkey * 1000"),
+    "from_unixtime": ("part", "p_partkey", "from_unixtime(p_partkey * 10000)", "make_timestamp(p_partkey * 10000000000)"),
     "to_unixtime": ("events", "event_id", "to_unixtime(ts)", "cast(floor(epoch(ts)) as bigint)"),
-    "now": ("region", "r_regionkey", "year(now()) >= 2024", "true"),
+    "now": ("region", "r_regionkey", "(year(now()) * 100 + month(now())) * r_regionkey", "cast((year(now()) * 100 + month(now())) * r_regionkey as bigint)"),
     "regexp_like": ("part", "p_partkey", "regexp_like(p_name, '[0-4]$')", "regexp_matches(p_name, '[0-4]$')"),
     "regexp_extract": ("part", "p_partkey", "coalesce(regexp_extract(p_brand, '#(\\d)(\\d)', 2), 'none')", "coalesce(nullif(regexp_extract(p_brand, '#(\\d)(\\d)', 2), ''), 'none')"),
     "regexp_extract_all": ("customer", "c_custkey", "array_join(regexp_extract_all(c_name, '[1-9]+'), ',')", "array_to_string(regexp_extract_all(c_name, '[1-9]+'), ',')"),
@@ -242,15 +241,15 @@ FUNCTIONS: dict[str, tuple[str, str, str, str | None]] = {
     "regexp_count": ("customer", "c_custkey", "regexp_count(c_name, '0')", "cast(len(regexp_extract_all(c_name, '0')) as bigint)"),
     "json_extract": ("events", "event_id", "json_extract(props, '$.k')", "cast(json_extract(props, '$.k') as varchar)"),
     "json_extract_scalar": ("events", "event_id", "json_extract_scalar(props, '$.k')", "json_extract_string(props, '$.k')"),
-    "json_array_length": ("events", "event_id", "json_array_length('[1, 2, ' || props || ']')", "cast(3 as bigint)"),
+    "json_array_length": ("events", "event_id", "json_array_length('[' || repeat('7, ', mod(event_id, 9)) || props || ']')", "event_id % 9 + 1"),
     "json_array_contains": ("events", "event_id", "json_array_contains('[5, 17, true]', event_id)", "event_id in (5, 17)"),
     "json_size": ("events", "event_id", "json_size(props, '$') + json_size(props, '$.k')", "cast(1 as bigint)"),
     "json_format": ("events", "event_id", "json_format(user_id)", "cast(user_id as varchar)"),
-    "json_parse": ("events", "event_id", "json_parse(props)", "props"),
-    "is_json_scalar": ("events", "event_id", "is_json_scalar(props)", "false"),
-    "map_keys": ("part", "p_partkey", "array_join(map_keys(map_from_entries([['a', p_brand], ['b', p_type]])), ',')", "'a,b'"),
+    "json_parse": ("events", "event_id", "json_extract_scalar(json_parse('[0, ' || props || ']'), '$[1].k')", "json_extract_string(props, '$.k')"),
+    "is_json_scalar": ("events", "event_id", "is_json_scalar(case when mod(event_id, 4) = 0 then props when mod(event_id, 4) = 1 then '[1]' when mod(event_id, 4) = 2 then cast(event_id as varchar) else 'true' end)", "event_id % 4 > 1"),
+    "map_keys": ("part", "p_partkey", "array_join(array_sort(map_keys(map_from_entries([[p_brand, 'a'], [p_type, 'b']]))), ',')", "least(p_brand, p_type) || ',' || greatest(p_brand, p_type)"),
     "map_values": ("part", "p_partkey", "array_join(map_values(map_from_entries([['a', p_brand], ['b', p_type]])), ',')", "p_brand || ',' || p_type"),
-    "map_entries": ("part", "p_partkey", "cardinality(map_entries(map_from_entries([['a', p_brand], ['b', p_type]])))", "cast(2 as bigint)"),
+    "map_entries": ("part", "p_partkey", "array_join(map_entries(map_from_entries([['a', p_brand], ['b', p_type]])), ';')", "'{a, ' || p_brand || '};{b, ' || p_type || '}'"),
     "element_at": ("part", "p_partkey", "coalesce(element_at(split(p_name, ' '), 1), '') || coalesce(element_at(split(p_name, ' '), 99), '')", "string_split(p_name, ' ')[1]"),
     "map_concat": ("part", "p_partkey", "element_at(map_concat(map_from_entries([['a', p_brand]]), map_from_entries([['a', p_type]])), 'a')", "p_type"),
     "map_from_entries": ("part", "p_partkey", "element_at(map_from_entries([['a', p_brand], ['a', p_type]]), 'a')", "p_type"),
@@ -290,12 +289,7 @@ def _log_rows(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
 
 
 def log_query(fmt: str, text: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from .sources import logs
-
-        return Engine(spark).table("it", logs.parse(_log_rows(spark, sf_dir, fmt), fmt)).sql(text)
-
-    return run
+    return over_files(lambda spark, sf_dir: _log_rows(spark, sf_dir, fmt), fmt, text)
 
 
 _ELB = "select elb_status_code, url_path_segments(request, 0) as s, count(*) as n, sum(received_bytes) as b, max(host_port(client_and_port)) as p, max(timestamp) as t, min(user_agent) as a from it group by elb_status_code, url_path_segments(request, 0)"
@@ -308,18 +302,16 @@ LOGS = {
 }
 
 
-def json_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    """Over events as JSON lines, in which `a` is absent, null or a number."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from .sources import json_lines
+def _json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON lines, in which `a` is absent, null or a number."""
+    e = _tables(spark, sf_dir, "events")
+    a = F.when(F.col("event_id") % 3 == 0, F.lit("")).when(F.col("event_id") % 3 == 1, F.lit(', "a": null')).otherwise(F.concat(F.lit(', "a": '), F.col("user_id").cast("string")))
+    line = F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), a, F.lit(', "p": '), F.col("props"), F.lit(', "d": [{"x": 1}, {"x": '), F.col("event_id").cast("string"), F.lit("}]}"))
+    return e.select(line.alias("value"))
 
-        e = _tables(spark, sf_dir, "events")
-        a = F.when(F.col("event_id") % 3 == 0, F.lit("")).when(F.col("event_id") % 3 == 1, F.lit(', "a": null')).otherwise(F.concat(F.lit(', "a": '), F.col("user_id").cast("string")))
-        line = F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), a, F.lit(', "p": '), F.col("props"), F.lit(', "d": [{"x": 1}, {"x": '), F.col("event_id").cast("string"), F.lit("}]}"))
-        return Engine(spark).table("it", json_lines.parse(e.select(line.alias("value")))).sql(text)
 
-    return run
+def json_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    return over_files(_json_lines, "jsonl", text)
 
 
 JSON = {
@@ -336,6 +328,16 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replayed(_tables(spark, sf_dir, "events"), "ts", "1 hour", "event_type", "value")
 
 
+#: Functions of chance, by what holds of many values: spread over [0, 1), and hardly one twice.
+CHANCE = {
+    f"fn_{name}": (
+        f"select l_linenumber as k, count(*) as n, min({name}()) >= 0.0 and max({name}()) < 1.0 as inside, avg({name}()) between 0.4 and 0.6 as even, max({name}()) - min({name}()) > 0.9 as wide from lineitem group by l_linenumber",
+        "select l_linenumber as k, count(*) as n, true as inside, true as even, true as wide from lineitem group by l_linenumber",
+    )
+    for name in ("rand", "random")
+}
+
+
 def _custom_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "select p_partkey as k, double_it(p_size) as v from part"
     return engine(spark, sf_dir, text).function("double_it", lambda c: c * 2, 1).sql(text)
@@ -345,14 +347,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: asking(text) for name, (text, _) in PLAIN.items()}
     out |= {name: run for name, (run, _) in (LOGS | JSON).items()}
     out |= {f"fn_{name}": asking(function_query(name)[0]) for name in FUNCTIONS}
+    out |= {name: asking(text) for name, (text, _) in CHANCE.items()}
     out |= {"custom_function": _custom_function, "stream_time_bucket": _streamed}
-    return out
+    return out | {name: run for name, (run, _) in PROOFS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {name: text if sql is None else sql for name, (text, sql) in PLAIN.items() if sql != ""}
     out |= {name: sql for name, (_, sql) in (LOGS | JSON).items()}
     out |= {f"fn_{name}": function_query(name)[1] for name in FUNCTIONS}
+    out |= {name: sql for name, (_, sql) in CHANCE.items()}
+    out |= {name: sql for name, (_, sql) in PROOFS.items()}
     out["custom_function"] = "select p_partkey as k, p_size * 2 as v from part"
     out["stream_time_bucket"] = "select time_bucket(interval '1 hour', ts) as bucket, event_type, count(*) as n, round(sum(value), 3) as total from events group by 1, 2"
     return out

@@ -57,8 +57,12 @@ class Function:
     most: int | None  # None: any number
     build: Callable[..., Column]
 
+    def accepts(self, n: int) -> bool:
+        """Whether the function takes n arguments."""
+        return self.least <= n and (self.most is None or n <= self.most)
+
     def __call__(self, *args: Arg) -> Column:
-        if len(args) < self.least or self.most is not None and len(args) > self.most:
+        if not self.accepts(len(args)):
             takes = f"{self.least}" if self.least == self.most else f"{self.least} or more" if self.most is None else f"{self.least} to {self.most}"
             raise AnalysisError(f"{self.name} takes {takes} arguments, not {len(args)}")
         return self.build(*args)
