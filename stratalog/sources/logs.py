@@ -23,7 +23,7 @@ FIELDS = {
 #: Names of kinds as `schema` shows them.
 KINDS = {"": "String", "datetime": "DateTime", "host": "Host", "float": "Float", "int": "Integral", "request": "HttpRequest"}
 _TOKEN = r""""[^"]*"?|'[^']*'?|\[[^\]]*\]?|[^\s"'\[]\S*"""
-_REQUEST = r"^(GET|POST|DELETE|HEAD|PUT|PATCH) (\S+) (HTTP/(?:1\.0|1\.1|2\.0))$"
+METHODS, VERSIONS = ("GET", "POST", "DELETE", "HEAD", "PUT", "PATCH"), ("HTTP/1.0", "HTTP/1.1", "HTTP/2.0")
 
 
 def fields(fmt: str) -> list[tuple[str, str]]:
@@ -42,14 +42,25 @@ def typed(token: Column, kind: str) -> Column:
     if kind == "float":
         return token.try_cast("double")
     if kind == "host":
-        name, port = F.regexp_extract(token, r"^(.*):([^:]*)$", 1), F.regexp_extract(token, r"^(.*):([^:]*)$", 2).try_cast("int")
+        last = F.substring_index(token, ":", -1)
+        port = F.when(F.contains(token, F.lit(":")), last.try_cast("int"))
+        name = F.left(token, F.length(token) - F.length(last) - 1)
         return F.when(port.between(0, 65535), F.struct(name.alias("hostname"), port.alias("port")))
     if kind == "request":
-        parts = [F.regexp_extract(token, _REQUEST, k) for k in (1, 2, 3)]
-        return F.when(parts[0] != "", F.struct(parts[0].alias("http_method"), parts[1].alias("url"), parts[2].alias("http_version"), token.alias("raw")))
+        parts = F.split(token, " ", -1)
+        method, url, version = (F.get(parts, F.lit(k)) for k in range(3))
+        whole = (F.size(parts) == 3) & method.isin(*METHODS) & version.isin(*VERSIONS) & (url != "") & (F.translate(url, "\t\n\x0b\f\r", "") == url)
+        return F.when(whole, F.struct(method.alias("http_method"), url.alias("url"), version.alias("http_version"), token.alias("raw")))
     return token
 
 
+def bare(token: Column) -> Column:
+    """A token without one quote or bracket at either end."""
+    opened, closed = F.ascii(token).isin(*map(ord, "\"'[")), F.right(token, F.lit(1)).isin('"', "'", "]")
+    stripped = F.substring(token, F.when(opened, 2).otherwise(1), F.length(token) - opened.cast("int") - closed.cast("int"))
+    return F.when(opened | closed, stripped).otherwise(token)
+
+
 def parse(lines: DataFrame, fmt: str, line_col: str = "value", mode: str = "PERMISSIVE") -> DataFrame:
     """Lines of a log format as columns.
 
@@ -60,7 +71,7 @@ def parse(lines: DataFrame, fmt: str, line_col: str = "value", mode: str = "PERM
     found = lines.where(F.length(F.trim(F.col(line_col))) > 0).select(F.regexp_extract_all(F.col(line_col), F.lit(_TOKEN), F.lit(0)).alias("tokens"))
     out = []
     for k, (name, kind) in enumerate(fields(fmt)):
-        token = F.regexp_replace(F.get("tokens", F.lit(k)), r"""^["'\[]|["'\]]$""", "")
+        token = bare(F.get("tokens", F.lit(k)))
         value = typed(token, kind)
         if mode.upper() == "FAILFAST" and kind:
             bad = token.isNotNull() & value.isNull() & (token != "-" if kind == "host" else F.lit(True))
