@@ -35,7 +35,9 @@ def conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tu
     """(id, turns): each conversation's turns by number, then role and text.
 
     Null roles and texts are empty; turns without a number come first; a turn that repeats
-    whole counts once. Rows without a conversation id belong to none and are left out.
+    whole counts once. Rows without a conversation id belong to none and are left out. A
+    conversation is rendered as a whole, so its turns meet in one row. An empty table gives no
+    rows; other columns are not read.
     """
     one = F.struct(F.col(turn_col).alias("n"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     grouped = turns.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.array_sort(F.collect_set(one)).alias("t"))

@@ -310,6 +310,16 @@ def test_url_filter(spark):
     assert len(found[5]) == 2 and found[2][0].host == "" and url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_long_urls_and_ordinary_words(spark):
+    """A URL is read to its end; words that only hold a term are none of it."""
+    long = "http://x.net/" + "a/" * 200_000
+    plain = ["http://essex.net/winter/adults-only-not", "http://x.net/freedom/downloads", "http://www.museum.edu/exhibition?q=hackathon", "http://shop.de/winner-takes", "http://x.net/free/reading"]
+    urls = [long + "casino", long, long + "?q=free&r=bonus", *plain]
+    found = by_id(url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")), "page_id")
+    assert [found[i][0].verdict for i in range(3)] == ["block", "allow", "block"] and {found[i][0].verdict for i in range(3, 8)} == {"allow"}
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
 def test_url_terms_after_the_path(spark):
     urls = ["http://x.net/go?q=casino", "/r?to=free+bonus+poker", "http://x.net/r?to=free+bonus+poker", "http://x.net/#Casino", "http://x.net/a?q=x%20c%61sino", "http://x.net/a%20casino", "http://x.net/a?q=free", "http://x.net/free?q=bonus", "http://a.org/?q=casino"]
     found = by_id(url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")), "page_id")
@@ -354,6 +364,24 @@ def test_chat_pairs(spark):
     assert chat_pairs.conversations(spark.createDataFrame([], turn)).count() == 0
 
 
+def test_chat_pairs_of_odd_conversations(spark):
+    """Ties of turn numbers, gaps of ids, very long and very many turns, null numbers."""
+    turn = "conv_id long, turn int, role string, text string"
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, None, "system", "first"), (1, 5, "assistant", "x" * 300_000), (7, 1, "assistant", "y")]
+    rows += [(20, k, "assistant" if k % 2 else "user", f"t{k}") for k in range(2000)] + [(21, k, "assistant" if k % 2 else "user", f"t{k}" if k < 1999 else "other") for k in range(2000)]
+    found = {r.id: r for r in chat_pairs.format_pairs(chat_pairs.borrowed_replies(chat_pairs.conversations(spark.createDataFrame(rows, turn)))).collect()}
+    assert found[1].prompt == "".join(f"<|im_start|>{x}<|im_end|>\n" for x in ("system\nfirst", "user\na", "user\nb"))
+    start, end = map(int, found[1].chosen_mask.split(":"))
+    assert found[1].chosen_text[start:end] == "x" * 300_000 + "<|im_end|>" and found[1].rejected_text == ""  # no conversation 2
+    assert found[7].prompt == "" and found[7].n_prompt_turns == 0 and found[20].n_prompt_turns == 1999
+    assert (found[20].chosen_text, found[20].rejected_text) == ("<|im_start|>assistant\nt1999<|im_end|>\n", "<|im_start|>assistant\nother<|im_end|>\n")
+    same = chat_pairs.conversations(spark.createDataFrame(rows, turn)).selectExpr("id", "turns as chosen", "turns as rejected")
+    assert {(r.chosen_text, r.rejected_mask) for r in chat_pairs.format_pairs(same).collect()} == {("", "")}
+    mask = chat_pairs.format_pairs(same.withColumn("rejected", F.lit(None).cast("array<struct<role:string,text:string>>"))).where("id = 20").first()
+    spans = [tuple(map(int, x.split(":"))) for x in mask.chosen_mask.split(",")]
+    assert [mask.chosen_text[a:b] for a, b in spans] == [f"t{k}<|im_end|>" for k in range(1, 2000, 2)]
+
+
 def test_html_extraction(spark):
     soup = '<div id="menu">Home</div><div class="w"><div class="t"><h1>Head {i}</h1><p>Alpha text {i} that is long enough to matter</p></div><div class="u">Same words</div></div>'
     rows = [(i, f"http://A.com/{i}", soup.format(i=i)) for i in range(6)] + [(9, "http://b.com/", "<article><p>x</p></article>"), (9, "http://b.com/", "<article><p>x</p></article>"), (10, None, None), (11, "http://c.com", "")]

@@ -161,6 +161,13 @@ def test_base_counts():
         assert quality.base_counts(text) == slow_counts(text), text
 
 
+def test_letters_are_counted_alike_with_and_without_a_loop():
+    rng = random.Random(6)
+    for _ in range(2000):
+        line = "".join(rng.choices([*map(chr, range(128)), "é", "É", "ß", "²", "ⅷ", "日"] if rng.random() < 0.5 else list(map(chr, range(128))), k=rng.randint(0, 50)))
+        assert quality.letters_in(line) == sum(map(str.isalpha, line)) and quality.capitals_in(line) == sum(map(str.isupper, line))
+
+
 @pytest.mark.parametrize(
     "line,fault",
     [
