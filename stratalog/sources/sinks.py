@@ -6,7 +6,8 @@ import csv
 import datetime
 import decimal
 import json
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, Row
 
@@ -63,23 +64,31 @@ def plain(value: object) -> object:
     return value if value is None or isinstance(value, (bool, int, float, str)) else str(value)
 
 
-def grid(rows: list[list[str]]) -> Iterator[str]:
-    """Cells in a frame, without a header."""
-    lines = [[c.split("\n") for c in row] for row in rows]
-    widths = [max(len(x) for row in lines for x in row[k]) for k in range(len(rows[0]))] if rows else []
-    rule = "+" + "".join("-" * (w + 2) + "+" for w in widths)
-    for row in lines:
-        yield rule
-        for k in range(max(map(len, row))):
-            yield "|" + "|".join(f" {(c[k] if k < len(c) else ''):<{w}} " for c, w in zip(row, widths)) + "|"
-    if rows:
+def grid(rows: Iterable[list[str]]) -> Iterator[str]:
+    """Cells in a frame, without a header. Rows wait in a temporary file of the driver until
+    the widths are known, so they need not fit in memory."""
+    widths: list[int] = []
+    with tempfile.TemporaryFile("w+", encoding="utf-8") as held:
+        for row in rows:
+            lines = [c.split("\n") for c in row]
+            held.write(json.dumps(lines) + "\n")
+            own = [max(map(len, c)) for c in lines]
+            widths = [max(x) for x in zip(widths, own)] if widths else own
+        held.seek(0)
+        rule = "+" + "".join("-" * (w + 2) + "+" for w in widths)
+        for line in held:
+            row = json.loads(line)
+            yield rule
+            for k in range(max(map(len, row))):
+                yield "|" + "|".join(f" {(c[k] if k < len(c) else ''):<{w}} " for c, w in zip(row, widths)) + "|"
+    if widths:
         yield rule
 
 
 def show(df: DataFrame, mode: str, out) -> None:
-    """Print a result; CSV and JSON hold one partition at a time, the grid all rows."""
+    """Print a result; the driver holds one partition at a time."""
     if mode == "table":
-        for line in grid([[cell(v) for v in row] for row in df.toLocalIterator()]):
+        for line in grid([cell(v) for v in row] for row in df.toLocalIterator()):
             print(line, file=out)
     elif mode == "csv":
         writer = csv.writer(out, lineterminator="\n")

@@ -8,6 +8,7 @@ from stratalog.cli import main
 from stratalog.engine import Engine
 from stratalog.errors import AnalysisError, EngineError, SourceError
 from stratalog.functions import builtin
+from stratalog.session import shared_folder
 from stratalog.sources import json_lines, logs, sinks
 
 
@@ -266,6 +267,24 @@ def test_stdin(spark, engine):
     assert engine.sql("select bytes from it").first()[0] == "5"
 
 
+def test_grid():
+    assert list(sinks.grid(iter([["a", "long\ntwo"], ["bcd", "é"]]))) == ["+-----+------+", "| a   | long |", "|     | two  |", "+-----+------+", "| bcd | é    |", "+-----+------+"]
+    assert list(sinks.grid([])) == []
+
+
+def test_shared_folder_off_one_machine(spark):
+    class Elsewhere:
+        conf = type("", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("", (), {"master": "spark://somewhere:7077"})
+
+    with pytest.raises(EngineError):
+        shared_folder(Elsewhere)
+    Elsewhere.sparkContext.master = "local-cluster[2,1,1024]"
+    with pytest.raises(EngineError):
+        shared_folder(Elsewhere)
+    assert shared_folder(spark) == shared_folder(spark)
+
+
 def test_write(spark, tmp_path):
     sinks.write(spark.createDataFrame([(1, None)], "a int, b string"), "csv", f"{tmp_path}/out")
     assert [r.value for r in spark.read.text(f"{tmp_path}/out").collect()] == ["1,<null>"]
