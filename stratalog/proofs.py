@@ -29,13 +29,15 @@ def folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+#: Formats whose files the catalogue compresses.
+COMPRESSED = ("alb", "squid")
+
+
 def filed(lines: DataFrame, fmt: str) -> str:
-    """Lines, a column `value`, written by the executors as several files, half of them
-    compressed; the `format=path` that reads them all."""
+    """Lines, a column `value`, written by the executors as several files, of some formats
+    compressed; the `format=path` that reads them."""
     path = folder(lines.sparkSession, fmt)
-    dealt = lines.select("value", F.pmod(F.xxhash64("value"), F.lit(8)).alias("part"))
-    for compression, parts in (("gzip", "part < 4"), ("none", "part >= 4")):
-        dealt.where(parts).repartition(4, "part").select("value").write.option("compression", compression).text(f"{path}/{compression}")
+    lines.repartition(8).write.option("compression", "gzip" if fmt in COMPRESSED else "none").text(path)
     return f"{fmt}={path}/*"
 
 
