@@ -28,7 +28,7 @@ TIERS = (1024, 512, 256, 128, 64)
 STEP_SEQUENCES = 32
 #: Chunks whose ids a task remembers in each of two generations; the older goes when the
 #: younger is full.
-CACHED_CHUNKS = 250_000
+CACHED_CHUNKS = 150_000
 _STOPS = ".,;:!?"
 #: White space with two spaces or more; in such a text only spaces between two other
 #: characters are sure to start a token.
@@ -201,7 +201,7 @@ def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col:
     """One row per piece: where it lies in its document and in its sequence.
 
     Null text is empty; a document's ids end with id 0, so each has a piece. Repeated rows
-    are packed as often as they come. Columns: id, start, length, ids_crc32, doc_tokens,
+    are packed as often as they come; an empty table gives no rows. Columns: id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, tier (tokens of the sequence), step_group. `extra` names columns of
     docs that go along; others are not read.
     """
