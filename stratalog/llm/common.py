@@ -66,10 +66,16 @@ def without(docs: DataFrame, gone: DataFrame, keys: list[Column], names: list[st
     return docs.join(F.broadcast(gone) if small else gone, alike, how)
 
 
+#: Bytes that go to Python at once where the session doesn't set them, so that long texts don't
+#: add up; and the setting.
+BATCH_BYTES, BATCH_SETTING = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df on all cores: rows are dealt anew only if df reads fewer splits than there are
+    """df for a Python operator, in batches of bounded size, on all cores: rows are dealt anew only if df reads fewer splits than there are
     cores, as a small table of one file does. Other frames stay as they are: a large table,
     and one with a shuffle, whose partitions can't be counted without running it."""
+    df.sparkSession.conf.set(BATCH_SETTING, df.sparkSession.conf.get(BATCH_SETTING, BATCH_BYTES))
     plan = df._jdf.queryExecution().sparkPlan().toString()
     nodes = re.findall(r"(?m)^[ :+-]*(?:\*\(\d+\) )?(\w+)", plan)
     if not {"Project", "Filter", "FileScan", "Scan", "BatchScan"}.issuperset(nodes):
