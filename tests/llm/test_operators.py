@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratalog.llm import chat_pairs, decontaminate, html_extract, langid, license_scan, packing, quality, secrets, simhash, url_filter
+from stratalog.llm import chat_pairs, common, decontaminate, html_extract, langid, license_scan, packing, quality, secrets, simhash, url_filter
 
 from stratalog.llm.common import join_hot
 
@@ -122,6 +122,28 @@ def test_one_giant_component_is_no_hot_key(spark):
     assert got == brute(dict(texts + copies))
 
 
+def test_rows_to_drop_beyond_a_broadcast(spark, docs, monkeypatch):
+    """More rows to drop than one broadcast holds are dropped by a shuffled join, nulls alike."""
+    bench = spark.createDataFrame([(1, "brown fox jumps over"), (2, "row without an id")], "item_id long, text string")
+    narrow = [simhash.keep_one(docs), decontaminate.remove_documents(docs, bench)]
+    spans = decontaminate.remove_spans(docs, bench)
+    monkeypatch.setattr(common, "MAX_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_ROWS", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wide = [simhash.keep_one(docs), decontaminate.remove_documents(docs, bench)]
+        for a, b in zip(narrow, wide):
+            assert "BroadcastHashJoin" in a._jdf.queryExecution().executedPlan().toString()
+            plan = b._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+            assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and 0 < a.count() < docs.count()
+        assert sorted(map(str, spans.collect())) == sorted(map(str, decontaminate.remove_spans(docs, bench).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert None not in by_id(narrow[1]) and 0 not in by_id(narrow[1])
+
+
 def test_hot_keys_are_joined_where_they_lie(spark):
     rows = spark.range(1000).selectExpr("if(id % 3 = 0, 7, id) as k", "id as x")
     facts = spark.range(1000).selectExpr("id as k", "id * 2 as y").where("k <> 5")

@@ -40,3 +40,21 @@ def test_spread_counts_splits_of_scans_only(spark):
     grouped = docs.groupBy("lang").count()
     assert spread(grouped) is grouped
     assert spread(docs.select("doc_id")).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_batches_for_python_are_bounded(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    texts = spark.range(0, 400, 1, 1).selectExpr("id as doc_id", "repeat('long words here. ', 6000) as text")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    found = [r.n for r in spread(texts).mapInArrow(sizes, "n long").collect()]
+    assert max(found) < 10_000_000 and len(found) >= 4
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+    spread(texts)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1m"
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
