@@ -33,8 +33,9 @@ def fields(fmt: str) -> list[tuple[str, str]]:
     return [tuple(f.partition(":")[::2]) for f in FIELDS[fmt].split()]
 
 
-def typed(token: Column, kind: str) -> Column:
-    """A bare token as a value of the kind; null where it isn't one."""
+def typed(token: Column, kind: str, parts: Column | None = None) -> Column:
+    """A bare token as a value of the kind; null where it isn't one. parts: a request's token
+    cut at blanks, a host's last part."""
     if kind == "datetime":
         return token.try_cast("timestamp")
     if kind == "int":
@@ -42,21 +43,24 @@ def typed(token: Column, kind: str) -> Column:
     if kind == "float":
         return token.try_cast("double")
     if kind == "host":
-        last = F.substring_index(token, ":", -1)
-        port = F.when(F.contains(token, F.lit(":")), last.try_cast("int"))
-        name = F.left(token, F.length(token) - F.length(last) - 1)
+        port = F.when(F.contains(token, F.lit(":")), parts.try_cast("int"))
+        name = F.left(token, F.length(token) - F.length(parts) - 1)
         return F.when(port.between(0, 65535), F.struct(name.alias("hostname"), port.alias("port")))
     if kind == "request":
-        parts = F.split(token, " ", -1)
         method, url, version = (F.get(parts, F.lit(k)) for k in range(3))
         whole = (F.size(parts) == 3) & method.isin(*METHODS) & version.isin(*VERSIONS) & (url != "") & (F.translate(url, "\t\n\x0b\f\r", "") == url)
         return F.when(whole, F.struct(method.alias("http_method"), url.alias("url"), version.alias("http_version"), token.alias("raw")))
     return token
 
 
+#: What a kind's token is cut into before it is typed.
+CUT = {"request": lambda token: F.split(token, " ", -1), "host": lambda token: F.substring_index(token, ":", -1)}
+
+
 def bare(token: Column) -> Column:
     """A token without one quote or bracket at either end."""
-    opened, closed = F.ascii(token).isin(*map(ord, "\"'[")), F.right(token, F.lit(1)).isin('"', "'", "]")
+    opened = token.startswith('"') | token.startswith("'") | token.startswith("[")
+    closed = token.endswith('"') | token.endswith("'") | token.endswith("]")
     stripped = F.substring(token, F.when(opened, 2).otherwise(1), F.length(token) - opened.cast("int") - closed.cast("int"))
     return F.when(opened | closed, stripped).otherwise(token)
 
@@ -68,11 +72,15 @@ def parse(lines: DataFrame, fmt: str, line_col: str = "value", mode: str = "PERM
     left out, blank lines skipped. A token that doesn't fit its field is null, or with mode
     FAILFAST an error; `-` for a host is null either way.
     """
-    found = lines.where(F.length(F.trim(F.col(line_col))) > 0).select(F.regexp_extract_all(F.col(line_col), F.lit(_TOKEN), F.lit(0)).alias("tokens"))
+    named = list(enumerate(fields(fmt)))
+    # Each step is a projection of its own, so that nothing is worked out twice.
+    tokens = lines.where(F.length(F.trim(F.col(line_col))) > 0).select(F.regexp_extract_all(F.col(line_col), F.lit(_TOKEN), F.lit(0)).alias("tokens"))
+    bares = tokens.select(*(bare(F.get("tokens", F.lit(k))).alias(f"t{k}") for k, _ in named))
+    found = bares.select("*", *(CUT[kind](F.col(f"t{k}")).alias(f"p{k}") for k, (_, kind) in named if kind in CUT))
     out = []
-    for k, (name, kind) in enumerate(fields(fmt)):
-        token = bare(F.get("tokens", F.lit(k)))
-        value = typed(token, kind)
+    for k, (name, kind) in named:
+        token = F.col(f"t{k}")
+        value = typed(token, kind, F.col(f"p{k}") if kind in CUT else None)
         if mode.upper() == "FAILFAST" and kind:
             bad = token.isNotNull() & value.isNull() & (token != "-" if kind == "host" else F.lit(True))
             value = F.when(bad, F.raise_error(F.concat(F.lit(f"not a {KINDS[kind]} in {name}: "), token)).cast("void")).otherwise(value)
