@@ -313,6 +313,56 @@ def test_language_features_cover_whole_texts():
     assert langid.features("12 !") is None and langid.features(None) is None and langid.features("") is None
 
 
+def slow_buckets(text):
+    """Counts of letter sequences by bucket, one sequence at a time."""
+    m, codes = 2**32, [ord(c) if c.isalpha() else 1 for c in text.lower()]
+    counts = {}
+    for n in (1, 2, 3):
+        for i in range(len(codes) - n + 1):
+            gram = codes[i : i + n]
+            if n == 1 and gram[0] == 1 or n == 2 and gram == [1, 1] or n == 3 and (gram[1] == 1 or gram[0] == 1 and gram[2] == 1):
+                continue
+            h = gram[0] * 2654435761 % m
+            if n > 1:
+                h = gram[0] * 0x85EBCA6B % m ^ gram[1] * 0xC2B2AE35 % m
+            if n > 2:
+                h = (h * 0x27D4EB2F + gram[2] * 0x165667B1) % m
+            bucket = (h ^ h >> 15) * 0x9E3779B1 % m >> 19
+            counts[bucket] = counts.get(bucket, 0) + 1
+    return counts
+
+
+def slow_predict(model, text):
+    """Family by the surest machine, language by votes, sums by plain loops."""
+    counts = slow_buckets(text)
+    if not counts:
+        return "und", 0.0
+    total = sum(counts.values())
+    margin = [sum(float(model.weights[b][k]) * (c / total) ** 0.5 for b, c in counts.items()) + float(model.weights[-1][k]) for k in range(len(model.slopes))]
+    chance = [1 / (1 + np.exp(-s * x)) for s, x in zip(model.slopes, margin)]
+    score, family = max((chance[k], name) for name, k in model.families.items())
+    own = sorted(x for x, f in model.family_of.items() if f == family)
+    votes = {x: sum((margin[k] >= 0) == (a == x) for (a, b), k in model.pairs.items() if x in (a, b)) for x in own}
+    worst = {x: min([1.0] + [chance[k] if a == x else 1 - chance[k] for (a, b), k in model.pairs.items() if x in (a, b)]) for x in own}
+    best = max(own, key=lambda x: (votes[x], worst[x]))
+    return best, score * worst[best]
+
+
+def test_languages_equal_a_plain_computation():
+    rng = random.Random(7)
+    words = {"en": "the and of house water thing", "de": "und der haus wasser ding nicht", "nl": "de het huis water ding niet", "fr": "le et maison eau chose pas", "es": "el y casa agua cosa que", "ru": "дом вода и не что"}
+    rows = [(lang, *langid.features(" ".join(rng.choices(w.split(), k=12)))) for lang, w in words.items() for _ in range(30)]
+    model = langid.fit(rows)
+    assert set(model.families) == {"germanic", "romance", "slavic"} and len(model.pairs) == 4
+    for _ in range(200):
+        text = " ".join(rng.choices(" ".join(words.values()).split() + ["1,", "É", "ß2", "日本", "--"], k=rng.randint(0, 15)))
+        index, shares = langid.features(text) or ((), ())
+        want = slow_buckets(text)
+        assert dict(zip(map(int, index), np.round(np.square(shares, dtype=np.float64) * sum(want.values())).astype(int).tolist())) == want
+        (lang, score), (slow, chance) = model.predict(text), slow_predict(model, text)
+        assert lang == slow and abs(score - chance) < 1e-4
+
+
 def test_language_model():
     words = {"en": "the and of house water thing", "de": "und der haus wasser ding nicht", "fr": "le et maison eau chose pas", "es": "el y casa agua cosa que"}
     rng = random.Random(4)
