@@ -1,11 +1,11 @@
-"""Aggregates of the dialect. All combine before the shuffle; none gathers a group's rows,
-save `group_as` and percentiles of texts."""
+"""Aggregates of the dialect. All combine before the shuffle; none gathers a group's rows, save
+`group_as`, and percentiles of texts in correlated subqueries."""
 
 from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..errors import AnalysisError
 
@@ -38,6 +38,23 @@ def percentile_disc(share: float, column: str, descending: bool, kind: T.DataTyp
     return F.get(ordered, F.least(F.floor(F.size(ordered) * F.lit(share)), F.size(ordered) - 1).cast("int"))
 
 
+def counted(kind: T.DataType) -> bool:
+    """Whether the built-in percentile takes values of the kind; it keeps counts of a group's
+    different values in memory."""
+    return isinstance(kind, (T.NumericType, T.TimestampType, T.TimestampNTZType))
+
+
+def ranked_percentile(rows: DataFrame, keys: list[str], column: str, share: float, descending: bool, name: str) -> DataFrame:
+    """(keys, name): percentile_disc of a column of any kind by group. Different values are
+    counted before they move; a group's are then sorted, which spills, instead of gathered."""
+    values = rows.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    order = group.orderBy(F.col(column).desc() if descending else F.col(column).asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = values.select(*keys, column, "_n", F.sum("_n").over(order).alias("_to"), F.sum("_n").over(group).alias("_all"))
+    place = F.least(F.floor(F.col("_all") * F.lit(share)), F.col("_all") - 1)
+    return placed.where((place < F.col("_to")) & (place >= F.col("_to") - F.col("_n"))).select(*keys, F.col(column).alias(name))
+
+
 def build(name: str, column: str | None, kind: T.DataType | None = None, share: object = None, descending: bool = False, distinct: bool = False) -> Column:
     """The aggregate of a column by name; no column means of rows."""
     value = F.col(column) if column else None

@@ -172,7 +172,7 @@ class Compiler:
         k = next(self._numbers)
         known: dict[t.Expr, str] = {}
         columns: dict[str, str] = {}
-        keys, before, aggs = [], [], []
+        keys, before, aggs, ranked = [], [], [], []
         for at, key in enumerate(q.keys):
             name = f"g{k}_key{at}"
             expr = key.expr
@@ -195,7 +195,11 @@ class Compiler:
                 kind = scope.type_of(col) if fn in ("sum", "avg", "percentile_disc") else None
                 before.append(col.alias(arg))
                 share = call.args[0].value if ordered and isinstance(call.args[0], t.Literal) else None
-                aggs.append(aggregates.build(fn, arg, kind, share, ordered and call.within.descending, call.distinct).alias(name))
+                agg = aggregates.build(fn, arg, kind, share, ordered and call.within.descending, call.distinct).alias(name)
+                if fn == "percentile_disc" and scope.outer is None and not aggregates.counted(kind):
+                    ranked.append((arg, float(share), call.within.descending, name))
+                else:
+                    aggs.append(agg)
             known[call] = name
         if q.group_as:
             name = f"g{k}_rows"
@@ -210,8 +214,17 @@ class Compiler:
             rows = df.select(*keys, *before)
             names = [f"g{k}_key{at}" for at in range(len(keys))]
             if not keys:  # a plain SELECT, so that an outer reference may wait for its query
-                return rows.select(*aggs)
-            return rows.groupBy(*names).agg(*aggs) if aggs else rows.distinct()
+                out = rows.select(*aggs or [F.count(F.lit(1)).alias(f"g{k}_n")])
+            else:
+                out = rows.groupBy(*names).agg(*aggs) if aggs else rows.select(*names).distinct()
+            for arg, share, descending, name in ranked:
+                own = aggregates.ranked_percentile(rows, names, arg, share, descending, name)
+                alike = F.lit(True)
+                for x in names:
+                    own = own.withColumnRenamed(x, f"{name}_{x}")
+                    alike = alike & F.col(x).eqNullSafe(F.col(f"{name}_{x}"))
+                out = out.join(own, alike, "left").drop(*(f"{name}_{x}" for x in names))
+            return out
 
         out, typing = grouped(df), grouped(scope.typing)
         types = {f.name: f.dataType for f in typing.schema.fields}

@@ -124,6 +124,29 @@ def test_percentiles_and_sequence(spark, engine):
     assert tuple(found) == (6, 1, 10, 1, 1, 10)
 
 
+def test_percentiles_of_texts(spark, engine):
+    """By group, null keys and all-null groups included, upward and downward, beside other aggregates; none gathers a group."""
+    words = ["pear", "fig", "fig", "lime", None, "yam", "leek", "kale", "fig", "beet"]
+    data = [(g, words[(7 * i + j) % 10]) for i, g in enumerate(["a", None, "b"]) for j in range(3 + 4 * i)] + [("none", None), ("none", None)]
+    engine.table("t", spark.createDataFrame(data, "g string, w string"))
+    for share in (0.0, 0.3, 0.5, 0.9, 1.0):
+        for order in ("asc", "desc"):
+            want = {}
+            for g in {x for x, _ in data}:
+                own = sorted((w for x, w in data if x == g and w is not None), reverse=order == "desc")
+                want[g] = own[min(int(len(own) * share), len(own) - 1)] if own else None
+            text = f"select g, percentile_disc({share}) within group (order by w {order}) as p, count(*) as n from t group by g"
+            assert {r.g: r.p for r in engine.sql(text).collect()} == want
+    every = sorted(w for _, w in data if w)
+    found = engine.sql("select percentile_disc(0.5) within group (order by w asc) as p, percentile_disc(0.25) within group (order by w desc) as q from t")
+    assert tuple(found.first()) == (every[len(every) // 2], every[::-1][len(every) // 4])
+    assert rows(engine.sql("select percentile_disc(0.5) within group (order by w asc) as p from t where w = 'no'")) == [(None,)]
+    middle = {g: sorted(w for x, w in data if x == g and w) for g in ("a", None, "b")}
+    assert rows(engine.sql("select g from t group by g having percentile_disc(0.5) within group (order by w asc) = 'fig'")) == sorted(((g,) for g, own in middle.items() if own[len(own) // 2] == "fig"), key=str)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+
+
 def test_first_and_last_follow_files_and_joins(spark, engine, tmp_path):
     """Files in order of their names, rows in theirs, through shuffles and joins."""
     for k in range(4):
