@@ -17,13 +17,15 @@ class Engine:
     """Queries over registered tables.
 
     With strict=False an unknown column of a typed table is MISSING; otherwise it is an error.
+    With large_groups=True percentile_disc sorts a group's different numbers, which spills,
+    instead of counting them in memory.
     """
 
-    def __init__(self, spark: SparkSession | None = None, strict: bool = True):
+    def __init__(self, spark: SparkSession | None = None, strict: bool = True, large_groups: bool = False):
         self.spark = prepared(spark) if spark else session()
         self.tables = Tables(self.spark)
         self.functions: Registry = builtin()
-        self._strict = strict
+        self._strict, self._large_groups = strict, large_groups
 
     def table(self, name: str, df: DataFrame) -> Engine:
         """Register a DataFrame."""
@@ -41,7 +43,7 @@ class Engine:
         return self
 
     def sql(self, text: str) -> DataFrame:
-        return Compiler(self.tables, self.functions, self._strict).compile(parse(text))
+        return Compiler(self.tables, self.functions, self._strict, self._large_groups).compile(parse(text))
 
     def explain(self, text: str, mode: str = "formatted") -> str:
         """Spark's plan of a query."""
@@ -49,5 +51,5 @@ class Engine:
         return self.spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
 
 
-def connect(spark: SparkSession | None = None, strict: bool = True) -> Engine:
-    return Engine(spark, strict)
+def connect(spark: SparkSession | None = None, strict: bool = True, large_groups: bool = False) -> Engine:
+    return Engine(spark, strict, large_groups)

@@ -44,8 +44,8 @@ def place_read(df: DataFrame) -> Column:
 
 
 class Compiler:
-    def __init__(self, tables: Tables, functions: Registry, strict: bool = True):
-        self._tables, self._functions, self._strict = tables, functions, strict
+    def __init__(self, tables: Tables, functions: Registry, strict: bool = True, large_groups: bool = False):
+        self._tables, self._functions, self._strict, self._large_groups = tables, functions, strict, large_groups
         self._numbers = count()
         self._exprs = Expressions(functions, self._subquery)
 
@@ -196,7 +196,7 @@ class Compiler:
                 before.append(col.alias(arg))
                 share = call.args[0].value if ordered and isinstance(call.args[0], t.Literal) else None
                 agg = aggregates.build(fn, arg, kind, share, ordered and call.within.descending, call.distinct).alias(name)
-                if fn == "percentile_disc" and scope.outer is None and not aggregates.counted(kind):
+                if fn == "percentile_disc" and scope.outer is None and (self._large_groups or not aggregates.counted(kind)):
                     ranked.append((arg, float(share), call.within.descending, name))
                 else:
                     aggs.append(agg)

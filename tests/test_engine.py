@@ -147,6 +147,16 @@ def test_percentiles_of_texts(spark, engine):
     assert "collect_list" not in plan
 
 
+def test_percentiles_of_large_groups(spark):
+    """Sorting gives what counting gives, for numbers and times, nulls and repeats among them."""
+    df = spark.range(300).selectExpr("id % 4 as g", "if(id % 7 = 0, null, cast(id * 37 % 50 as double) / 4) as x", "id * 13 % 40 as i", "timestamp_seconds(id * 17 % 60) as t")
+    calls = ", ".join(f"percentile_disc({share}) within group (order by {c} {order}) as {c}{k}{order}" for c in "xit" for k, share in enumerate((0, 0.25, 0.9, 1)) for order in ("asc", "desc"))
+    for text in (f"select g, count(*) as n, {calls} from t group by g", f"select {calls} from t"):
+        few, many = (Engine(spark, large_groups=large).table("t", df).sql(text) for large in (False, True))
+        assert rows(few) == rows(many) and few.dtypes == many.dtypes
+        assert "percentile_disc" not in many._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_first_and_last_follow_files_and_joins(spark, engine, tmp_path):
     """Files in order of their names, rows in theirs, through shuffles and joins."""
     for k in range(4):
