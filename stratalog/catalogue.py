@@ -277,7 +277,7 @@ def _log_rows(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
     """Orders dressed as rows of a log format."""
     from .sources import logs
 
-    o = _tables(spark, sf_dir, "orders")
+    o = _tables(spark, sf_dir, "orders").repartition(8)  # so that several files are written
     host = F.struct(F.concat(F.lit("10.0.0."), F.col("o_custkey") % 200).alias("hostname"), (F.col("o_custkey") % 60000).cast("int").alias("port"))
     url = F.concat(F.lit("http://www.example.com/"), F.lower("o_orderstatus"), F.lit("/"), F.col("o_orderkey").cast("string"))
     raw = F.concat(F.lit("GET "), url, F.lit(" HTTP/1.1"))
@@ -304,7 +304,7 @@ LOGS = {
 
 def _json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as JSON lines, in which `a` is absent, null or a number."""
-    e = _tables(spark, sf_dir, "events")
+    e = _tables(spark, sf_dir, "events").repartition(8)
     a = F.when(F.col("event_id") % 3 == 0, F.lit("")).when(F.col("event_id") % 3 == 1, F.lit(', "a": null')).otherwise(F.concat(F.lit(', "a": '), F.col("user_id").cast("string")))
     line = F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), a, F.lit(', "p": '), F.col("props"), F.lit(', "d": [{"x": 1}, {"x": '), F.col("event_id").cast("string"), F.lit("}]}"))
     return e.select(line.alias("value"))

@@ -34,10 +34,10 @@ COMPRESSED = ("alb", "squid")
 
 
 def filed(lines: DataFrame, fmt: str) -> str:
-    """Lines, a column `value`, written by the executors as several files, of some formats
-    compressed; the `format=path` that reads them."""
+    """Lines, a column `value`, written by the executors as a file for each partition, of some
+    formats compressed; the `format=path` that reads them."""
     path = folder(lines.sparkSession, fmt)
-    lines.repartition(8).write.option("compression", "gzip" if fmt in COMPRESSED else "none").text(path)
+    lines.write.option("compression", "gzip" if fmt in COMPRESSED else "none").text(path)
     return f"{fmt}={path}/*"
 
 
