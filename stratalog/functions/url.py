@@ -16,8 +16,8 @@ def url_of(a: Arg) -> Column:
 
 
 def group(a: Arg, k: int) -> Column:
-    url = url_of(a)
-    return F.when(F.regexp_like(url, F.lit(_URL)), F.regexp_extract(url, _URL, k))
+    """The k-th part; empty where it is, and where the text is no URL."""
+    return F.regexp_extract(url_of(a), _URL, k)
 
 
 def port(a: Arg) -> Column:
@@ -29,8 +29,9 @@ def port(a: Arg) -> Column:
 
 
 def path(a: Arg) -> Column:
+    """A URL without a path has `/`; every URL has a scheme."""
     found = group(a, 4)
-    return F.when(found == "", F.lit("/")).otherwise(found)
+    return F.when(found != "", found).when(group(a, 1) != "", F.lit("/"))
 
 
 def segments(a: Arg) -> Column:
