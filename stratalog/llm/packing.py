@@ -12,8 +12,8 @@ Tasks work on their own partition in bounded windows of documents, so nothing is
 from __future__ import annotations
 
 import bisect
-import re
 import zlib
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -26,36 +26,27 @@ CONTEXT = 1024
 TIERS = (1024, 512, 256, 128, 64)
 #: Sequences of one tier that a training step takes together.
 STEP_SEQUENCES = 32
-#: Chunks whose ids a task remembers in each of two generations; the older goes when the
-#: younger is full.
-CACHED_CHUNKS = 150_000
-_STOPS = ".,;:!?"
-#: White space with two spaces or more; in such a text only spaces between two other
-#: characters are sure to start a token.
-_TWO_SPACES = re.compile(r" [^\S ]* ")
-_LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Characters from which a text's ids don't become a list of Python's.
+LONG = 1_000_000
 _SPECIAL = "<|endoftext|>"
 
 
-class ChunkEncoder:
-    """Ids of whole texts as packed little-endian uint32, remembered by chunk between spaces.
+class Encoder:
+    """Ids of whole texts as packed little-endian uint32.
 
-    A space between two non-space characters always starts a token of the byte-level BPE, so
-    a text's ids are its chunks' ids; texts with special tokens go to the tokenizer whole.
+    Ordinary text goes through a faster encoder with the tokenizer's vocabulary, merges and
+    pattern. Texts with special tokens, and those with runs of white space beyond what its
+    pattern can look ahead over, go to the tokenizer itself.
     """
 
-    def __init__(self, definition: str, cached: int = CACHED_CHUNKS):
+    def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(definition)
-        self._encode = self._plain(definition)
-        self._known: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
-        self._cached = cached
+        self._fast = self._plain(definition)
 
     @staticmethod
     def _plain(definition: str):
-        """An encoder of ordinary text with the same vocabulary, faster on short chunks."""
         import json
 
         import tiktoken
@@ -66,52 +57,20 @@ class ChunkEncoder:
         of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
         ranks = {bytes(of[c] for c in word): i for word, i in vocab.items() if word != _SPECIAL}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        return tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def whole(self, text: str) -> bytes:
         return _packed(self._tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _remember(self, key: str, ids: bytes) -> bytes:
-        if len(self._known) >= self._cached:
-            self._older, self._known = self._known, {}
-        self._known[key] = ids
-        return ids
-
-    def _chunk(self, chunk: str) -> bytes:
-        """Ids of a space and `chunk`."""
-        ids = self._known.get(chunk)
-        if ids is not None:
-            return ids
-        if (ids := self._older.get(chunk)) is None:
-            ids = self._new(chunk)
-        return self._remember(chunk, ids)
-
-    def _new(self, chunk: str) -> bytes:
-        word = chunk.rstrip(_STOPS)
-        if len(word) < len(chunk) and word.isalpha():  # letters and stops are separate tokens
-            return self._chunk(word) + self._bare(chunk[len(word) :])
-        line, newline, rest = chunk.partition("\n")
-        if line and rest and not line[-1].isspace() and not rest[0].isspace():  # so is a lone newline
-            return self._chunk(line) + self._bare(newline) + self._bare(rest)
-        return _packed(self._encode(" " + chunk))
-
-    def _bare(self, text: str) -> bytes:
-        """Ids of the start of a token, remembered apart from chunks after a space."""
-        key = " " + text
-        ids = self._known.get(key) or self._older.get(key)
-        return ids if ids is not None else self._remember(key, _packed(self._encode(text)))
-
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if _SPECIAL in text:
-            return self.whole(text)
-        first, *rest = _LONE_SPACE.split(text) if _TWO_SPACES.search(text) else text.split(" ")
-        out = [_packed(self._encode(first))] if first else []
-        known = self._known.get
-        for chunk in rest:
-            out.append(known(chunk) or self._chunk(chunk))
-        return b"".join(out)
+        if _SPECIAL not in text:
+            try:
+                return _packed(self._fast.encode_ordinary(text)) if len(text) < LONG else self._fast.encode_to_numpy(text).astype("<u4").tobytes()
+            except ValueError:  # the pattern ran out of its stack
+                pass
+        return self.whole(text)
 
 
 def definition_of(tokenizer_file: str) -> str:
@@ -121,7 +80,7 @@ def definition_of(tokenizer_file: str) -> str:
 
 
 def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return pack_ids(f"<{len(ids)}I", *ids)
 
 
 class Packer:
@@ -212,7 +171,7 @@ def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col:
 
     def run(batches):
         base = TaskContext.get().partitionId() << 33
-        encode, packer = ChunkEncoder(definition), Packer(context, tiers)
+        encode, packer = Encoder(definition), Packer(context, tiers)
         state = {"sequence": 0, "group": 0}
 
         def emit(sequences, arrow):
