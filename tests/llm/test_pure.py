@@ -74,14 +74,19 @@ def test_index_links_what_brute_force_links(seed, n, spread):
 # -- packing -----------------------------------------------------------------------------------
 
 
-def test_chunk_encoder_equals_the_tokenizer():
+def test_encoder_equals_the_tokenizer(monkeypatch):
     from tokenizers import Tokenizer
 
-    plain, encode, rng = Tokenizer.from_file(BPE), packing.ChunkEncoder(packing.definition_of(BPE), cached=50), random.Random(5)
-    parts = ["a", "word", " ", " ", "  ", "\n", "\t", "'s", "'ll", "12", "é", "!", ".", "日本", "🙂", "\x1c", "\x85", "\u00a0", "<|endoftext|>", "ⅷ", "²", "_"]
-    texts = ["", "It's fine.\nNext line, here; ok?", "a  b", "a \n \n b"] + ["".join(rng.choices(parts, k=rng.randint(1, 20))) for _ in range(4000)]
+    plain, encode, rng = Tokenizer.from_file(BPE), packing.Encoder(packing.definition_of(BPE)), random.Random(5)
+    parts = ["a", "word", " ", " ", "  ", "\n", "\t", "'s", "'ll", "12", "é", "!", ".", "日本", "🙂", "\x1c", "\x85", "\u00a0", "<|endoftext|>", "ⅷ", "²", "_", "\r\n", "\u2028", "\u3000", "e\u0301", "\x00"]
+    texts = ["", "It's fine.\nNext line, here; ok?", "a  b", "a \n \n b"] + ["".join(rng.choices(parts, k=rng.randint(1, 30))) for _ in range(6000)]
+    texts += ["".join(chr(rng.choice([rng.randint(0, 0xD7FF), rng.randint(0xE000, 0x10FFFF), rng.randint(0, 255)])) for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    texts += [" " * 200_000 + "x", "a" + "\n \t" * 100_000 + "b", "word " * 50_000, "x" * 100_000]
     for text in texts:
-        assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+        assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text[:50]
+    monkeypatch.setattr(packing, "LONG", 0)
+    for text in texts[:300]:
+        assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text[:50]
 
 
 def test_packer_places_each_id_once_without_padding():

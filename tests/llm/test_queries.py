@@ -66,7 +66,7 @@ def test_pipeline(spark):
     bad = {r.doc_id for r in decontaminate.judge(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")).collect() if r.contaminated}
     words = secrets.vocabulary_words(queries.byte_bpe())
     texts = {d: secrets.redacted(r.text, secrets.spans(r.text, words=words)) for d, r in docs.items() if d not in bad}
-    encode = packing.ChunkEncoder(packing.definition_of(queries.byte_bpe()))
+    encode = packing.Encoder(packing.definition_of(queries.byte_bpe()))
     want = {d: len(encode(t)) // 4 + 1 for d, t in texts.items()}
     found = corpus_pipeline.run(spark, SF).collect()
     got: dict = {}
