@@ -189,10 +189,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", columns: tupl
 
     def run(batches):
         for batch in batches:
-            found = [model.predict(x) for x in batch.column(1).to_pylist()]
+            found = [model.predict(x) for x in batch.column(0).field(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["row", *columns])
 
-    read = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    at = docs.columns.index(text_col)
+    read = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     schema = T.StructType([read.schema["row"], T.StructField(columns[0], T.StringType()), T.StructField(columns[1], T.DoubleType())])
     return spread(read).mapInArrow(run, schema)
 

@@ -246,12 +246,13 @@ def scan(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", vocabu
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(0).field(at).to_pylist()
             found = [spans(x, words=words.value) for x in texts]
             listed = pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in found], arrow)
             yield pa.RecordBatch.from_arrays([batch.column(0), listed, pa.array([redacted(x, f, mark) for x, f in zip(texts, found)], pa.string())], names=["row", "spans", "redacted"])
 
-    read = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    at = docs.columns.index(text_col)
+    read = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     schema = T.StructType([read.schema["row"], T.StructField("spans", T._parse_datatype_string(SPAN)), T.StructField("redacted", T.StringType())])
     return spread(read).mapInArrow(run, schema)
 
